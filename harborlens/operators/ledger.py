@@ -97,19 +97,19 @@ def product_pnl(flow: DataFrame, cost: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("_lines"),
             F.sum(fn.money(F.col("delivered") * F.col("unit_price"))).cast("double").alias("revenue"),
         )
-        .withColumn("unit_price", F.round(F.col("_prices").cast("double") / F.col("_lines"), 4))
+        .withColumn("unit_price", F.col("_prices").cast("double") / F.col("_lines"))
     )
     return with_margin(
         sales.join(cost.select("material", "material_type", "unit_cost"), "material", "left")
         .withColumn("unit_cost", F.coalesce("unit_cost", F.lit(0.0)))
-        .withColumn("cogs", F.round(F.col("qty_sold") * F.col("unit_cost"), 2))
+        .withColumn("cogs", F.round(F.col("qty_sold") * F.col("unit_cost"), 6))
         .drop("_prices", "_lines")
     )
 
 
 def with_margin(pnl: DataFrame) -> DataFrame:
     """Gross profit and margin in percent, recomputed from revenue and cost."""
-    profit = F.round(F.col("revenue") - F.col("cogs"), 2)
+    profit = F.round(F.col("revenue") - F.col("cogs"), 6)
     margin = F.when(F.col("revenue") > 0, F.round(profit / F.col("revenue") * 100, 4)).otherwise(0.0)
     return pnl.withColumn("gross_profit", profit).withColumn("margin_pct", margin)
 

@@ -41,14 +41,14 @@ def prefix_scan(
     totals = totals.withColumn("_before", before)
     kept = [*parts, "_before"]
     if low:
-        totals = totals.withColumn("_low_before", F.min(F.col("_before") + F.col("_low")).over(earlier))
-        kept.append("_low_before")
+        totals = totals.withColumn("_prior_low", F.min(F.col("_before") + F.col("_low")).over(earlier))
+        kept.append("_prior_low")
     joined = rows.join(totals.select(*kept), parts).withColumn(out, F.col("_before") + F.col("_inside"))
     if low:
         joined = joined.withColumn(
-            f"{low}_before", F.least("_low_before", F.col("_before") + F.col("_inside_low_before"))
-        ).withColumn(low, F.least("_low_before", F.col("_before") + F.col("_inside_low")))
-    return joined.drop("_inside", "_inside_low", "_inside_low_before", "_before", "_low_before")
+            f"{low}_before", F.least("_prior_low", F.col("_before") + F.col("_inside_low_before"))
+        ).withColumn(low, F.least("_prior_low", F.col("_before") + F.col("_inside_low")))
+    return joined.drop("_inside", "_inside_low", "_inside_low_before", "_before", "_prior_low")
 
 
 def rank_within(df: DataFrame, keys: list[str], order: str, out: str = "rank", width: int = 1024) -> DataFrame:

@@ -79,12 +79,12 @@ PNL_SQL = f"""{PRICE_SQL}, lines AS (SELECT l_suppkey AS plant, l_partkey AS mat
     CASE WHEN l_quantity > 0 THEN l_extendedprice * (1 - l_discount) / l_quantity ELSE 0 END AS unit_price
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'),
 sales AS (SELECT plant, material, SUM(delivered) AS qty_sold,
-    ROUND(CAST(SUM(CAST(unit_price AS DECIMAL(18, 10))) AS DOUBLE) / COUNT(*), 4) AS unit_price,
+    CAST(SUM(CAST(unit_price AS DECIMAL(18, 10))) AS DOUBLE) / COUNT(*) AS unit_price,
     CAST(SUM(CAST(delivered * unit_price AS DECIMAL(18, 4))) AS DOUBLE) AS revenue FROM lines GROUP BY 1, 2),
 costed AS (SELECT plant, material, material_type, qty_sold, unit_price, revenue, price AS unit_cost,
-    ROUND(qty_sold * price, 2) AS cogs FROM sales LEFT JOIN prices USING (material)),
-pnl AS (SELECT *, ROUND(revenue - cogs, 2) AS gross_profit,
-    CASE WHEN revenue > 0 THEN ROUND(ROUND(revenue - cogs, 2) / revenue * 100, 4) ELSE 0 END AS margin_pct FROM costed)"""
+    ROUND(qty_sold * price, 6) AS cogs FROM sales LEFT JOIN prices USING (material)),
+pnl AS (SELECT *, ROUND(revenue - cogs, 6) AS gross_profit,
+    CASE WHEN revenue > 0 THEN ROUND(ROUND(revenue - cogs, 6) / revenue * 100, 4) ELSE 0 END AS margin_pct FROM costed)"""
 
 
 def pnl_detail(t: Tables):
@@ -110,8 +110,8 @@ def product_pnl(t: Tables):
     CAST(SUM(CAST(revenue AS DECIMAL(18, 4))) AS DOUBLE) AS revenue,
     CAST(SUM(CAST(cogs AS DECIMAL(18, 4))) AS DOUBLE) AS cogs
     FROM pnl GROUP BY GROUPING SETS ((material_type), (plant), (material), ()))
-    SELECT *, ROUND(revenue - cogs, 2) AS gross_profit,
-    CASE WHEN revenue > 0 THEN ROUND(ROUND(revenue - cogs, 2) / revenue * 100, 4) ELSE 0 END AS margin_pct FROM sets""",
+    SELECT *, ROUND(revenue - cogs, 6) AS gross_profit,
+    CASE WHEN revenue > 0 THEN ROUND(ROUND(revenue - cogs, 6) / revenue * 100, 4) ELSE 0 END AS margin_pct FROM sets""",
 )
 def pnl_by_level(t: Tables):
     return ops.pnl_by(pnl_detail(t))
