@@ -17,10 +17,12 @@ def hash_draw(*key: str | Column, seed: int = 0, tag: str = "") -> Column:
 def key_draw(key: Column, seed: int = 0) -> Column:
     """The same for an integer key by plain arithmetic, so that other SQL engines agree.
 
-    A multiplicative congruential step (fixed values 48271 and 2**31 - 1) spreads neighbours.
+    Two multiplicative congruential steps (fixed values 48271 and 69621 modulo 2**31 - 1) spread
+    neighbouring keys.
     """
     modulus = F.lit(2147483647)
-    return F.pmod((F.pmod(key.cast("long"), modulus) + F.lit(seed + 1)) * F.lit(48271), modulus) / modulus
+    first = F.pmod((F.pmod(key.cast("long"), modulus) + F.lit(seed + 1)) * F.lit(48271), modulus)
+    return F.pmod(first * F.lit(69621), modulus) / modulus
 
 
 def pick(draw: Column, *choices: Column) -> Column:
