@@ -209,11 +209,12 @@ def constraint_report(t: Tables):
 
 @query(
     "key_difference",
-    "SELECT l_partkey AS key FROM lineitem WHERE l_quantity < 3 EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'",
+    """SELECT l_partkey, l_suppkey FROM lineitem WHERE l_quantity < 3 EXCEPT
+    SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'""",
 )
 def key_difference(t: Tables):
-    small = t.lineitem.where("l_quantity < 3").select(F.col("l_partkey").alias("key"))
-    return small.subtract(t.lineitem.where("l_returnflag = 'R'").select("l_partkey"))
+    keys = ["l_partkey", "l_suppkey"]
+    return t.lineitem.where("l_quantity < 3").select(*keys).subtract(t.lineitem.where("l_returnflag = 'R'").select(*keys))
 
 
 @query("content_manifest")
