@@ -1,7 +1,9 @@
-"""Reading and guarded writing of paths in JSON text columns."""
+"""Reading, comparing and guarded writing of paths in JSON documents."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,8 +29,21 @@ def read_value(document: Column, *steps: str | int) -> Column:
     return F.try_variant_get(F.try_parse_json(document), json_path(*steps), "variant")
 
 
+def literal_value(value) -> Column:
+    return F.parse_json(F.lit(json.dumps(value)))
+
+
+def as_map(value: Column) -> Column:
+    """The members of a variant object, null for any other kind."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def as_array(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
 def kind_rank(value: Column) -> Column:
-    """Position of a variant's kind in ``KIND_ORDER``; null when the path is missing."""
+    """Position of a variant's kind in ``KIND_ORDER``; null when there is no value."""
     name = F.schema_of_variant(value)
     return (
         F.when(name == "VOID", 0)
@@ -40,20 +55,19 @@ def kind_rank(value: Column) -> Column:
     )
 
 
-def set_path(properties: Column, steps: list[str], value: Column) -> Column:
-    """Replace the value at a path of a ``map<string,string>`` of JSON values, only where it exists.
+def sort_key(value: Column) -> Column:
+    """A struct that compares as the value does: by kind, then number, then text."""
+    rank = kind_rank(value)
+    number = F.when(rank == 2, F.try_variant_get(value, "$", "double")).otherwise(F.lit(0.0))
+    text = F.when(rank == 2, F.lit("")).when(rank == 3, F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
+    return F.when(rank.isNotNull(), F.struct(rank.alias("kind"), number.alias("number"), F.coalesce(text, F.lit("")).alias("text")))
+
 
-    Inner steps address objects nested as JSON text; ``value`` is JSON text too.
-    """
+def set_path(members: Column, steps: list[str], value: Column) -> Column:
+    """Replace the value at a path of a ``map<string,variant>``, only where the path exists."""
     head, rest = steps[0], steps[1:]
-    if not rest:
-        changed = F.transform_values(properties, lambda k, v: F.when(k == head, value).otherwise(v))
+    if rest:
+        inner = lambda old: F.coalesce(F.to_variant_object(set_path(as_map(old), rest, value)), old)
     else:
-        changed = F.transform_values(
-            properties,
-            lambda k, v: F.when(
-                k == head,
-                F.to_json(set_path(F.from_json(v, "map<string,string>"), rest, value)),
-            ).otherwise(v),
-        )
-    return F.when(F.map_contains_key(properties, head), changed).otherwise(properties)
+        inner = lambda old: value
+    return F.transform_values(members, lambda k, v: F.when(k == head, inner(v)).otherwise(v))
