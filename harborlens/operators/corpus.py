@@ -78,7 +78,7 @@ def duplicate_shares(text: Column, separator: str) -> Column:
 def _sorted_ngrams(words: Column, n: int) -> Column:
     """Hashes of all n-grams with their positions, equal ones side by side."""
     starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
-    return F.array_sort(F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice(words, i + 1, n)).alias("h"), i.alias("i"))))
+    return F.sort_array(F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice(words, i + 1, n)).alias("h"), i.alias("i"))))
 
 
 def _letters(words: Column, start: Column, n: int) -> Column:
@@ -129,10 +129,19 @@ def repetition_measures(text: Column) -> Column:
 
     def measures(words: Column) -> Column:
         tops = [top_ngram_share(words, n, total).alias(f"top_{n}") for n in TOP_NGRAM_CHARS]
-        repeats = [duplicate_ngram_share(words, n, total).alias(f"dup_{n}") for n in DUPLICATE_NGRAM_CHARS]
-        return F.struct(
-            duplicate_shares(text, "\n+").alias("lines"), duplicate_shares(text, "\n{2,}").alias("paragraphs"), *tops, *repeats
-        )
+        lines = [duplicate_shares(text, "\n+").alias("lines"), duplicate_shares(text, "\n{2,}").alias("paragraphs")]
+
+        def repeats(sizes: list[int], known: list[Column]) -> Column:
+            """A repeated n-gram holds a repeated (n-1)-gram, so the search stops at the first zero."""
+            if not sizes:
+                named = [c.alias(f"dup_{n}") for n, c in zip(DUPLICATE_NGRAM_CHARS, known)]
+                return F.struct(*lines, *tops, *named)
+            share = duplicate_ngram_share(words, sizes[0], total)
+            if known:
+                share = F.when(known[-1] == 0, F.lit(0.0)).otherwise(share)
+            return let(share, lambda d: repeats(sizes[1:], [*known, d]))
+
+        return repeats(list(DUPLICATE_NGRAM_CHARS), [])
 
     return let(fn.words_of(text), measures)
 
@@ -344,5 +353,5 @@ def keyword_slugs(docs: DataFrame, words: int, by_letters: bool = False) -> Data
     counted = found.groupBy("id", "w").agg(weight.alias("weight"))
     best = Window.partitionBy("id").orderBy(F.desc("weight"), "w")
     top = counted.withColumn("at", F.row_number().over(best)).where(F.col("at") <= words)
-    ordered = F.array_sort(F.collect_list(F.struct("at", "w")))
+    ordered = F.sort_array(F.collect_list(F.struct("at", "w")))
     return top.groupBy("id").agg(F.array_join(F.transform(ordered, lambda x: x["w"]), "-").alias("slug"))

@@ -172,7 +172,7 @@ def metric_list(
     return (
         state.where(keep)
         .groupBy(*by, F.floor(F.col(order) / F.lit(width)).alias("chunk"))
-        .agg(F.array_sort(F.collect_list(pair)).alias("_pairs"))
+        .agg(F.sort_array(F.collect_list(pair)).alias("_pairs"))
         .select(*by, "chunk", F.transform("_pairs", lambda p: p["value"]).alias("values"))
     )
 

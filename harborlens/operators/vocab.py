@@ -33,7 +33,7 @@ def encode_slugs(slugs: DataFrame, vocab: DataFrame, mapping: DataFrame | None =
         words = words.join(mapping.select("token", "representative"), "token", "left").withColumn(
             "token", F.coalesce("representative", "token")
         )
-    known = words.join(vocab, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "index"))).alias("_p"))
+    known = words.join(vocab, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "index"))).alias("_p"))
     return slugs.select("id").join(known, "id", "left").select(
         "id", F.coalesce(F.transform("_p", lambda p: p["index"]), F.array().cast("array<bigint>")).alias("indices")
     )
@@ -50,7 +50,7 @@ def representatives(labelled: DataFrame) -> DataFrame:
     centroid = (
         clustered.select("cluster", F.posexplode("vector").alias("d", "x"))
         .groupBy("cluster", "d").agg(F.avg(F.col("x").cast("double")).alias("x"))
-        .groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("_c"))
+        .groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("_c"))
     )
     squares = F.zip_with("vector", "_c", lambda x, c: (x - c["x"]) * (x - c["x"]))
     # Distances of cluster members of equal position differ in the last bits only; ten decimals tie them.

@@ -17,7 +17,7 @@ LABEL_STOP_SQL = ", ".join(f"'{w}'" for w in fn.LABEL_STOPWORDS)
 
 
 def docs(t: Tables):
-    return t.documents.select(F.col("doc_id").alias("id"), "text", "lang", "source")
+    return t.spread("documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
 
 
 # Slugs
@@ -41,7 +41,7 @@ def pages(t: Tables):
     """Pages whose URL ends in the words of their title."""
     title = F.regexp_replace(F.lower(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), "[^a-z0-9]+", "-")
     url = F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit("/"), F.regexp_replace(title, "^-|-$", ""), F.lit(".html"))
-    return t.pages.select(F.col("page_id").alias("id"), url.alias("url"), F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
+    return t.spread("pages").select(F.col("page_id").alias("id"), url.alias("url"), F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
 
 
 @query("extract_slug", f"WITH {PAGES_SQL}, {SLUG_SQL} SELECT id, url, slug FROM slugged")
@@ -95,21 +95,25 @@ def duplicates_sql(separator: str) -> str:
     / length(text) ELSE 0 END AS by_chars FROM (SELECT doc_id AS id, text, {pieces} AS ps FROM documents)"""
 
 
+def grams_sql(n: int) -> str:
+    """Positions of all n-grams of a text, with a hash of their words."""
+    return f"""SELECT id, total, i, hash(ws[i + 1 : i + {n}]) AS g, ls FROM (SELECT id, total, ws, ls, unnest(range(0, len(ws) - {n} + 1)) AS i FROM w)"""
+
+
 def top_sql(n: int) -> str:
-    return f"""SELECT id, max(share) AS top_{n} FROM (SELECT id, CASE WHEN c > 1 THEN CAST(c * letters AS DOUBLE) / total ELSE 0 END AS share,
-    ROW_NUMBER() OVER (PARTITION BY id ORDER BY c DESC, letters DESC) AS at_ FROM (SELECT id, g, any_value(total) AS total, COUNT(*) AS c,
-    any_value(list_sum(list_transform(g, lambda w: length(w)))) AS letters FROM (SELECT id, total, ws[i + 1 : i + {n}] AS g
-    FROM (SELECT id, total, ws, unnest(range(0, len(ws) - {n} + 1)) AS i FROM w)) GROUP BY id, g)) WHERE at_ = 1 GROUP BY id"""
+    letters = " + ".join(f"ls[i + {k}]" for k in range(1, n + 1))
+    return f"""SELECT id, arg_max(CASE WHEN c > 1 THEN CAST(c * letters AS DOUBLE) / total ELSE 0 END, c * 1000000 + letters) AS top_{n}
+    FROM (SELECT id, g, any_value(total) AS total, COUNT(*) AS c, any_value({letters}) AS letters FROM ({grams_sql(n)}) GROUP BY id, g) GROUP BY id"""
 
 
 def dup_sql(n: int) -> str:
-    return f"""SELECT id, CAST(SUM(letters) AS DOUBLE) / any_value(total) AS dup_{n} FROM (SELECT DISTINCT id, total, i + k AS p, length(ws[i + k + 1]) AS letters
-    FROM (SELECT id, total, ws, i, ROW_NUMBER() OVER (PARTITION BY id, ws[i + 1 : i + {n}] ORDER BY i) AS seen
-    FROM (SELECT id, total, ws, unnest(range(0, len(ws) - {n} + 1)) AS i FROM w)), range(0, {n}) r(k) WHERE seen > 1) GROUP BY id"""
+    return f"""SELECT id, CAST(SUM(letters) AS DOUBLE) / any_value(total) AS dup_{n} FROM (SELECT DISTINCT id, total, i + k AS p, ls[i + k + 1] AS letters
+    FROM (SELECT g.* FROM ({grams_sql(n)}) g JOIN (SELECT id, g, MIN(i) AS first FROM ({grams_sql(n)}) GROUP BY 1, 2 HAVING COUNT(*) > 1) f
+    ON f.id = g.id AND f.g = g.g AND g.i > f.first), range(0, {n}) r(k)) GROUP BY id"""
 
 
 REPETITION_SQL = (
-    f"WITH w AS (SELECT doc_id AS id, greatest(length(text), 1) AS total, {WORDS.format('text')} AS ws FROM documents), "
+    f"WITH w AS (SELECT *, list_transform(ws, lambda v: length(v)) AS ls FROM (SELECT doc_id AS id, greatest(length(text), 1) AS total, {WORDS.format('text')} AS ws FROM documents)), "
     + f"lines_ AS ({duplicates_sql('\\n+')}), paragraphs_ AS ({duplicates_sql('\\n{2,}')}), "
     + ", ".join(f"t{n} AS ({top_sql(n)})" for n in ops.TOP_NGRAM_CHARS) + ", "
     + ", ".join(f"d{n} AS ({dup_sql(n)})" for n in ops.DUPLICATE_NGRAM_CHARS)
@@ -578,12 +582,12 @@ def metric_cdf(t: Tables):
 @query(
     "random_baseline",
     f"""WITH {SPLIT_SQL}, {CORPUS_SQL}, train AS (SELECT slug, ROW_NUMBER() OVER (ORDER BY c.id) AS n FROM corpus c JOIN splits s ON s.id = c.id AND split = 'train'),
-    test AS (SELECT c.id, ((((c.id + 10) * 48271 % 2147483647) * 69621) % 2147483647) / 2147483647.0 AS draw FROM corpus c JOIN splits s ON s.id = c.id AND split = 'test')
+    test AS (SELECT c.id, ((((c.id + 10) * 48271 % 2147483647) * 69621) % 2147483647) / 2147483647.0 AS draw FROM corpus c JOIN splits s ON s.id = c.id AND split <> 'train')
     SELECT id, slug AS prediction FROM test JOIN train ON n = CAST(FLOOR(draw * (SELECT COUNT(*) FROM train)) AS BIGINT) + 1""",
 )
 def random_baseline(t: Tables):
     parts = corpus(t).join(splits(t), "id")
-    return evaluate.random_baseline(parts.where("split = 'train'"), parts.where("split = 'test'"), key_draw(F.col("id"), 9))
+    return evaluate.random_baseline(parts.where("split = 'train'"), parts.where("split <> 'train'"), key_draw(F.col("id"), 9))
 
 
 @query(

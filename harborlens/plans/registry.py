@@ -20,6 +20,15 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for work that is heavy per row: a scan with fewer splits than cores is dealt out.
+
+        Only a table of few files is moved; a large one has more splits than cores anyway.
+        """
+        table = getattr(self, name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
 
 def query(name: str, sql: str | None = None):
     """Register ``function(tables) -> DataFrame`` under a name."""
