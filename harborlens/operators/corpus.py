@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from harborlens.functions import text as fn
+from harborlens.functions.grams import ngram_letters, profile_hits
 from harborlens.operators.scan import prefix_scan, rank_within
 
 # Frequent function words per language, for telling languages apart offline.
@@ -40,22 +41,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _profile_hits(words: Column, profile: list[str]) -> Column:
-    listed = F.array(*[F.lit(x) for x in profile])
-    return F.size(F.filter(words, lambda w: F.array_contains(listed, w)))
-
-
 def language_score(text: Column, language: str) -> Column:
     """How much of the profile words found belongs to the language, 0 when none is found.
 
     An offline stand-in for a trained classifier; words of several profiles count for each.
     """
-    counts = lambda words: F.array(*[_profile_hits(words, p) for p in PROFILES.values()])
     at = list(PROFILES).index(language)
-    return let(
-        let(fn.words_of(text), counts),
-        lambda c: F.when(F.array_max(c) > 0, c[at] / F.aggregate(c, F.lit(0), lambda s, x: s + x)).otherwise(F.lit(0.0)),
-    )
+    found = profile_hits(fn.words_of(text), list(PROFILES.values()))
+    return let(found, lambda c: F.when(F.array_max(c) > 0, c[at] / F.aggregate(c, F.lit(0), lambda s, x: s + x)).otherwise(F.lit(0.0)))
 
 
 def language_filter(df: DataFrame, language: str = "en", threshold: float = 0.65) -> DataFrame:
@@ -75,75 +68,21 @@ def duplicate_shares(text: Column, separator: str) -> Column:
     )))
 
 
-def _sorted_ngrams(words: Column, n: int) -> Column:
-    """Hashes of all n-grams with their positions, equal ones side by side."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
-    return F.sort_array(F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice(words, i + 1, n)).alias("h"), i.alias("i"))))
-
-
-def _letters(words: Column, start: Column, n: int) -> Column:
-    return F.aggregate(F.slice(words, start + 1, n), F.lit(0), lambda s, w: s + F.length(w))
-
+def repetition_measures(df: DataFrame) -> DataFrame:
+    """The rows with all shares of the repetition filter as one struct column ``repetition``.
 
-def top_ngram_share(words: Column, n: int, total: Column) -> Column:
-    """Letters in the most frequent n-gram (times its count) over the text length; 0 when none repeats.
-
-    Among equally frequent n-grams the longest counts.
+    Repeated lines and paragraphs are shares after their first occurrence. ``top_n`` is the share of
+    the text in its most frequent n-gram, ``dup_n`` that of words inside n-grams seen before.
     """
-    zero = lambda: F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("run"), F.lit(0).alias("count"), F.lit(0).alias("letters"))
-
-    def step(state: Column, gram: Column) -> Column:
-        run = F.when((state["h"] == gram["h"]) & (state["run"] > 0), state["run"] + 1).otherwise(F.lit(1))
-        letters = _letters(words, gram["i"], n)
-        better = (run > state["count"]) | ((run == state["count"]) & (letters > state["letters"]))
-        return F.struct(
-            gram["h"].alias("h"), run.alias("run"),
-            F.when(better, run).otherwise(state["count"]).alias("count"),
-            F.when(better, letters).otherwise(state["letters"]).alias("letters"),
-        )
-
-    best = F.aggregate(_sorted_ngrams(words, n), zero(), step)
-    return let(best, lambda b: F.when(b["count"] > 1, b["count"] * b["letters"] / total).otherwise(F.lit(0.0)))
-
-
-def duplicate_ngram_share(words: Column, n: int, total: Column) -> Column:
-    """Letters of words inside n-grams that occurred before, each word once, over the text length."""
-
-    def covered(grams: Column) -> Column:
-        later = F.filter(
-            F.sequence(F.lit(1), F.greatest(F.size(grams) - 1, F.lit(1))),
-            lambda j: F.coalesce(F.get(grams, j)["h"] == F.get(grams, j - 1)["h"], F.lit(False)),
-        )
-        spans = F.transform(later, lambda j: F.sequence(F.get(grams, j)["i"], F.get(grams, j)["i"] + F.lit(n - 1)))
-        return F.array_distinct(F.flatten(spans))
-
-    letters = F.aggregate(
-        let(_sorted_ngrams(words, n), covered), F.lit(0), lambda s, i: s + F.length(F.get(words, i))
+    text, total = F.col("text"), F.greatest(F.length("text"), F.lit(1))
+    counted = df.withColumn(
+        "_letters", ngram_letters(fn.words_of(text), list(TOP_NGRAM_CHARS), list(DUPLICATE_NGRAM_CHARS))
     )
-    return letters / total
-
-
-def repetition_measures(text: Column) -> Column:
-    """All shares of the repetition filter as one struct."""
-    total = F.greatest(F.length(text), F.lit(1))
-
-    def measures(words: Column) -> Column:
-        tops = [top_ngram_share(words, n, total).alias(f"top_{n}") for n in TOP_NGRAM_CHARS]
-        lines = [duplicate_shares(text, "\n+").alias("lines"), duplicate_shares(text, "\n{2,}").alias("paragraphs")]
-
-        def repeats(sizes: list[int], known: list[Column]) -> Column:
-            """A repeated n-gram holds a repeated (n-1)-gram, so the search stops at the first zero."""
-            if not sizes:
-                named = [c.alias(f"dup_{n}") for n, c in zip(DUPLICATE_NGRAM_CHARS, known)]
-                return F.struct(*lines, *tops, *named)
-            share = duplicate_ngram_share(words, sizes[0], total)
-            if known:
-                share = F.when(known[-1] == 0, F.lit(0.0)).otherwise(share)
-            return let(share, lambda d: repeats(sizes[1:], [*known, d]))
-
-        return repeats(list(DUPLICATE_NGRAM_CHARS), [])
-
-    return let(fn.words_of(text), measures)
+    names = [f"top_{n}" for n in TOP_NGRAM_CHARS] + [f"dup_{n}" for n in DUPLICATE_NGRAM_CHARS]
+    shares = [(F.col(f"_letters.{name}") / total).alias(name) for name in names]
+    return counted.withColumn("repetition", F.struct(
+        duplicate_shares(text, "\n+").alias("lines"), duplicate_shares(text, "\n{2,}").alias("paragraphs"), *shares
+    )).drop("_letters")
 
 
 def is_repetitive(m: Column) -> Column:
@@ -160,7 +99,7 @@ def is_repetitive(m: Column) -> Column:
 
 
 def repetition_filter(df: DataFrame) -> DataFrame:
-    return df.where(let(repetition_measures(F.col("text")), lambda m: ~is_repetitive(m)))
+    return repetition_measures(df).where(~is_repetitive(F.col("repetition"))).drop("repetition")
 
 
 def web_quality_measures(text: Column) -> Column:

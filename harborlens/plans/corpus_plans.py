@@ -131,7 +131,7 @@ FIT_SQL = " AND ".join(
 
 @query("repetition_measures", REPETITION_SQL + "SELECT * FROM measured")
 def repetition_measures(t: Tables):
-    m = docs(t).select("id", ops.repetition_measures(F.col("text")).alias("m"))
+    m = ops.repetition_measures(docs(t)).select("id", F.col("repetition").alias("m"))
     return m.select(
         "id", F.col("m.lines.by_count").alias("line_count"), F.col("m.lines.by_chars").alias("line_chars"),
         F.col("m.paragraphs.by_count").alias("paragraph_count"), F.col("m.paragraphs.by_chars").alias("paragraph_chars"),
