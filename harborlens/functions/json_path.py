@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,23 +45,31 @@ def as_array(value: Column) -> Column:
 
 def kind_rank(value: Column) -> Column:
     """Position of a variant's kind in ``KIND_ORDER``; null when there is no value."""
-    name = F.schema_of_variant(value)
-    return (
-        F.when(name == "VOID", 0)
+    return let(
+        F.schema_of_variant(value),
+        lambda name: F.when(name == "VOID", 0)
         .when(name == "BOOLEAN", 1)
         .when(name.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), 2)
         .when(name == "STRING", 3)
         .when(name.startswith("ARRAY"), 4)
-        .when(name.startswith("OBJECT"), 5)
+        .when(name.startswith("OBJECT"), 5),
     )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value`` computed once per row, however often ``body`` mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sort_key(value: Column) -> Column:
     """A struct that compares as the value does: by kind, then number, then text."""
-    rank = kind_rank(value)
-    number = F.when(rank == 2, F.try_variant_get(value, "$", "double")).otherwise(F.lit(0.0))
-    text = F.when(rank == 2, F.lit("")).when(rank == 3, F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
-    return F.when(rank.isNotNull(), F.struct(rank.alias("kind"), number.alias("number"), F.coalesce(text, F.lit("")).alias("text")))
+
+    def key(rank: Column) -> Column:
+        number = F.when(rank == 2, F.try_variant_get(value, "$", "double")).otherwise(F.lit(0.0))
+        text = F.when(rank == 2, F.lit("")).when(rank == 3, F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
+        return F.when(rank.isNotNull(), F.struct(rank.alias("kind"), number.alias("number"), F.coalesce(text, F.lit("")).alias("text")))
+
+    return let(kind_rank(value), key)
 
 
 def set_path(members: Column, steps: list[str], value: Column) -> Column:

@@ -5,7 +5,6 @@ Filters look at whole texts and stay expressions over each row: no text is explo
 
 from __future__ import annotations
 
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from pyspark.sql.window import Window
 
 from harborlens.functions import text as fn
 from harborlens.functions.grams import ngram_letters, profile_hits
+from harborlens.functions.json_path import let
 from harborlens.operators.scan import prefix_scan, rank_within
 
 # Frequent function words per language, for telling languages apart offline.
@@ -36,11 +36,6 @@ MAX_REPEATED_LINE_CHARS, MAX_NEWLINES_PER_WORD = 0.10, 0.30
 MIN_TOKENS, MAX_TOKENS = 50, 1000
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` over ``value`` computed once; inside a lambda a plain column would be recomputed."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def language_score(text: Column, language: str) -> Column:
     """How much of the profile words found belongs to the language, 0 when none is found.
 

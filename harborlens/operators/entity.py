@@ -46,7 +46,10 @@ def value_match(left: Column, condition: str, right: Column) -> Column:
     (null, boolean, number, string, array, object). contains, starts_with and ends_with work on
     strings and arrays, and contains on the keys of objects.
     """
-    a, b = jp.sort_key(left), jp.sort_key(right)
+    return jp.let(jp.sort_key(left), lambda a: jp.let(jp.sort_key(right), lambda b: _keyed_match(left, a, condition, right, b)))
+
+
+def _keyed_match(left: Column, a: Column, condition: str, right: Column, b: Column) -> Column:
     simple = {
         "equals": lambda: a == b,
         "not_equals": lambda: a != b,
@@ -80,7 +83,7 @@ def value_match(left: Column, condition: str, right: Column) -> Column:
 
 def property_match(left, condition: str, right) -> Column:
     """A property predicate; each side is a Path, a variant column or a plain value."""
-    return value_match(_operand(left), condition, _operand(right))
+    return jp.let(_operand(left), lambda a: jp.let(_operand(right), lambda b: value_match(a, condition, b)))
 
 
 def any_element_match(path: Path, condition: str, value) -> Column:

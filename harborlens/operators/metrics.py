@@ -83,7 +83,11 @@ def compare(field: Column, comparison: str, value, kind: T.DataType | None = Non
         "gt": lambda: field > literal,
         "gte": lambda: field >= literal,
     }
-    return F.coalesce(tests[comparison](), F.lit(comparison == "neq"))
+    test = tests[comparison]()
+    if number:
+        # NaN equals and orders against nothing.
+        test = F.when(F.isnan(field), F.lit(comparison == "neq")).otherwise(test)
+    return F.coalesce(test, F.lit(comparison == "neq"))
 
 
 def get(value: Column, kind: T.DataType, field: str | int) -> tuple[Column, T.DataType]:

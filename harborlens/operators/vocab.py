@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from harborlens.operators.corpus import cluster_vectors
 from harborlens.operators.graph import connected_components
 from harborlens.operators.nearest import cosine_radius_graph
-from harborlens.operators.scan import prefix_scan
+from harborlens.operators.scan import prefix_scan, salted_join
 from harborlens.session import cut_lineage
 
 
@@ -81,31 +81,33 @@ def compress_graph(tokens: DataFrame, threshold: float = 0.85) -> DataFrame:
     return representatives(tokens.join(named, "number"))
 
 
-def compress_communities(tokens: DataFrame, threshold: float = 0.85, rounds: int = 10) -> DataFrame:
+def compress_communities(tokens: DataFrame, threshold: float = 0.85, rounds: int = 30) -> DataFrame:
     """Grouped by label propagation on the cosine graph.
 
-    Each word takes the label with the largest summed similarity around it (ties: smallest
-    label), round by round. Communities differ from those of modularity methods, but like them
+    A word takes the label with the largest summed similarity around it (its own label has half a
+    vote; ties: smallest label). Half the words, drawn anew by hash, move per round, so neighbours
+    do not swap labels for ever. Communities differ from those of modularity methods, but like them
     they split loosely connected components.
     """
     edges = cosine_radius_graph(tokens, "number", "vector", threshold)
     both = edges.selectExpr("id AS src", "neighbor AS dst", "similarity").unionByName(
         edges.selectExpr("neighbor AS src", "id AS dst", "similarity")
     )
-    own = tokens.selectExpr("number AS src", "number AS dst", "1D AS similarity")
+    own = tokens.selectExpr("number AS src", "number AS dst", "0.5D AS similarity")
     links = cut_lineage(both.unionByName(own))
     labels = cut_lineage(tokens.select("number", F.col("number").alias("label")))
-    for _ in range(rounds):
+    for turn in range(rounds):
         votes = (
-            links.join(labels.withColumnRenamed("number", "dst"), "dst")
+            salted_join(links, labels.withColumnRenamed("number", "dst"), ["dst"])
             .groupBy(F.col("src").alias("number"), "label").agg(F.sum("similarity").alias("weight"))
         )
         ranked = F.struct(F.round(F.col("weight"), 6), -F.col("label"))
-        new = cut_lineage(votes.groupBy("number").agg(F.max_by("label", ranked).alias("label")))
-        changed = new.join(labels.withColumnRenamed("label", "old"), "number").where("label <> old").isEmpty()
-        labels = new
-        if changed:
+        best = votes.groupBy("number").agg(F.max_by("label", ranked).alias("best"))
+        moves = F.pmod(F.xxhash64("number", F.lit(turn)), F.lit(2)) == 0
+        voted = cut_lineage(labels.join(best, "number"))
+        if voted.where("best <> label").isEmpty():
             break
+        labels = voted.select("number", F.when(moves, F.col("best")).otherwise(F.col("label")).alias("label"))
     return representatives(tokens.join(labels.withColumnRenamed("label", "cluster"), "number"))
 
 
