@@ -258,9 +258,12 @@ def month_end_snapshots(ledger: DataFrame, opening: DataFrame, keys: list[str])
 
 
 def line_numbers(items: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """Six-digit item numbers in steps of ten within each document."""
-    position = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return items.withColumn("line_no", F.lpad((position * 10).cast("string"), 6, "0"))
+    """Six-digit item numbers in steps of ten within each document.
+
+    The first order column makes the buckets of the scan, so a document may have any number of items.
+    """
+    numbered = prefix_scan(items, [group], order[0], order, F.lit(1), "_at")
+    return numbered.withColumn("line_no", F.lpad((F.col("_at") * 10).cast("string"), 6, "0")).drop("_at")
 
 
 def replenishment(demand: DataFrame, policy: DataFrame, opening_factor: float = 1.2) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from harborlens.operators.scan import exact_quantiles, salted_join
+
 COMPARISONS = ("eq", "neq", "lt", "lte", "gt", "gte")
 AGGREGATES = ("count", "sum", "min", "max", "mean")
 # Two units in the last place, as a relative tolerance for comparing doubles.
@@ -217,13 +219,7 @@ def collate(series: DataFrame, parameters: list[str]) -> DataFrame:
 
 def box_data(df: DataFrame, by: str, value: str) -> DataFrame:
     """Five numbers per group for a box plot."""
-    return df.groupBy(by).agg(
-        F.min(value).alias("low"),
-        F.percentile(value, F.lit(0.25)).alias("q1"),
-        F.percentile(value, F.lit(0.5)).alias("median"),
-        F.percentile(value, F.lit(0.75)).alias("q3"),
-        F.max(value).alias("high"),
-    )
+    return exact_quantiles(df, by, value, {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0})
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
@@ -263,4 +259,5 @@ def route_messages(messages: DataFrame, agents: DataFrame) -> DataFrame:
             F.col("agent_name").alias("key"), "agent_id", F.lit(1).alias("by_name")
         )
     )
-    return mentions.join(keys, "key").select("message_id", "sender", "position", "agent_id", "by_name")
+    # An agent may be named in most of the messages, so its key is salted.
+    return salted_join(mentions, keys, ["key"]).select("message_id", "sender", "position", "agent_id", "by_name")

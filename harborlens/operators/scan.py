@@ -61,6 +61,31 @@ def rank_within(df: DataFrame, keys: list[str], order: str, out: str = "rank", w
     return prefix_scan(ranged, keys, "_range", [order], F.lit(1), out).drop("_range")
 
 
+def exact_quantiles(df: DataFrame, by: str, value: str, probabilities: dict[str, float]) -> DataFrame:
+    """Exact quantiles per group, interpolated between neighbours, without holding a group in memory.
+
+    Values are counted first; the counts are summed up in two levels whose buckets are steps of a
+    logarithmic scale, and each quantile is the least value with enough rows up to it.
+    """
+    number = F.col(value).cast("double")
+    counts = df.where(F.col(value).isNotNull()).groupBy(by, number.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    step = F.signum("_v") * F.floor(F.lit(32) * F.log2(F.lit(1) + F.abs("_v")))
+    scanned = prefix_scan(counts.withColumn("_step", step), [by], "_step", ["_v"], F.col("_n"), "_upto")
+    sized = scanned.join(counts.groupBy(by).agg(F.sum("_n").alias("_total")), by)
+    picks = []
+    for name, p in probabilities.items():
+        at = (F.col("_total") - 1) * F.lit(float(p))
+        for end, position in (("low", F.floor(at)), ("high", F.ceil(at))):
+            picks.append(F.min(F.when(F.col("_upto") > position, F.col("_v"))).alias(f"_{name}_{end}"))
+    found = sized.groupBy(by).agg(F.first("_total").alias("_total"), *picks)
+    between = []
+    for name, p in probabilities.items():
+        at = (F.col("_total") - 1) * F.lit(float(p))
+        low, high = F.col(f"_{name}_low"), F.col(f"_{name}_high")
+        between.append((low + (at - F.floor(at)) * (high - low)).alias(name))
+    return found.select(by, *between)
+
+
 def salted_join(
     left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot_rows: int = 4096
 ) -> DataFrame:

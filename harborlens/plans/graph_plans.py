@@ -218,14 +218,14 @@ def update_properties(t: Tables):
 
 
 VERSIONS_SQL = """versions AS (SELECT o_custkey AS entity, o_orderkey AS revision, o_orderstatus AS state,
-    CAST(o_orderdate AS DATE) AS tx_start, LEAD(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS tx_end,
+    CAST(o_orderdate AS DATE) AS tx_start, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) + 45 END AS tx_end,
     CAST(o_orderdate AS DATE) - 30 AS dec_start, CASE WHEN o_orderstatus <> 'O' THEN CAST(o_orderdate AS DATE) + 60 END AS dec_end FROM orders)"""
 
 
 def versions(t: Tables):
     return t.orders.selectExpr(
         "o_custkey AS entity", "o_orderkey AS revision", "o_orderstatus AS state", "CAST(o_orderdate AS DATE) AS tx_start",
-        "LEAD(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS tx_end",
+        "CASE WHEN o_orderstatus <> 'P' THEN DATE_ADD(CAST(o_orderdate AS DATE), 45) END AS tx_end",
         "DATE_SUB(CAST(o_orderdate AS DATE), 30) AS dec_start",
         "CASE WHEN o_orderstatus <> 'O' THEN DATE_ADD(CAST(o_orderdate AS DATE), 60) END AS dec_end",
     )

@@ -201,3 +201,15 @@ def test_manifest_ignores_order_and_partitions(spark):
     assert sorted(quality.content_manifest(a).collect()) == sorted(quality.content_manifest(b).collect())
     changed = quality.content_manifest(a.withColumn("a", F.col("a") + 1)).first().content_hash
     assert changed != quality.content_manifest(a).first().content_hash
+
+
+def test_exact_quantiles(spark):
+    from harborlens.operators.scan import exact_quantiles
+
+    rng = random.Random(8)
+    rows = [("a" if rng.random() < 0.8 else "b", rng.choice([rng.gauss(0, 100), float(rng.randint(-3, 3)), None])) for _ in range(800)]
+    df = spark.createDataFrame(rows, "g STRING, v DOUBLE")
+    got = exact_quantiles(df, "g", "v", {"q1": 0.25, "q9": 0.9})
+    wanted = df.groupBy("g").agg(F.percentile("v", F.lit(0.25)).alias("q1"), F.percentile("v", F.lit(0.9)).alias("q9"))
+    for a, b in zip(got.orderBy("g").collect(), wanted.orderBy("g").collect()):
+        assert a.g == b.g and abs(a.q1 - b.q1) < 1e-9 and abs(a.q9 - b.q9) < 1e-9
