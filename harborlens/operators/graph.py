@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     of rounds logarithmic in the component size. Neighbour minima are partial aggregates, and the
     edges of a hub are salted.
     """
-    pairs = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    pairs = cut_lineage(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
     nodes = cut_lineage(pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct())
     current = cut_lineage(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
