@@ -485,3 +485,46 @@ def top_safety_stock(t: Tables):
         t.lineitem.where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("material"))
         .agg(F.sum("l_quantity").alias("qty")).orderBy(F.desc("qty"), "material").limit(20)
     )
+
+
+@query(
+    "issues_by_date",
+    f"WITH {ISSUES_SQL} SELECT due, COUNT(DISTINCT order_id) AS orders, SUM(qty) AS qty FROM issues GROUP BY 1",
+)
+def issues_by_date(t: Tables):
+    return ops.issues_by(issues(t), "due")
+
+
+@query(
+    "lane_summary_by_priority",
+    f"""WITH {LANES_SQL} SELECT CASE WHEN preferred THEN 'Primary' ELSE 'Alternate' END AS priority, COUNT(DISTINCT lane) AS lanes,
+    SUM(hours) / COUNT(*) AS mean_hours, SUM(cost) / COUNT(*) AS mean_cost FROM lane_modes GROUP BY 1""",
+)
+def lane_summary_by_priority(t: Tables):
+    labelled = lane_modes(t).withColumn("priority", F.when(F.col("preferred"), "Primary").otherwise("Alternate"))
+    return ops.lane_summary(labelled, "priority")
+
+
+@query(
+    "loss_by_type",
+    f"""WITH {LEDGER_SQL}, {PRICE_SQL}, grouped AS (SELECT material_type, COUNT(*) AS rows, SUM(CAST(qty * price / unit AS DECIMAL(18, 4))) AS v
+    FROM ledger JOIN prices USING (material) WHERE code = '551' GROUP BY 1)
+    SELECT material_type, rows, CAST(v AS DOUBLE) AS value, CAST(v AS DOUBLE) / CAST(SUM(v) OVER () AS DOUBLE) * 100 AS share_pct FROM grouped""",
+)
+def loss_by_type(t: Tables):
+    losses = ledger(t).where("code = '551'").join(prices(t), "material")
+    return ops.share_by(losses, "material_type", F.col("qty") * F.col("price") / F.col("unit"))
+
+
+@query(
+    "date_parts",
+    """WITH days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders) SELECT strftime(d, '%Y%m%d') AS text, d AS day,
+    CAST(date_trunc('month', d) AS DATE) AS month_start, CAST(date_trunc('week', d) AS DATE) AS week_start,
+    CAST(date_trunc('week', d) AS DATE) + 6 AS week_end FROM days""",
+)
+def date_parts(t: Tables):
+    text = t.orders.select(fn.day_text(F.col("o_orderdate")).alias("text")).distinct()
+    d = fn.parse_day(F.col("text"))
+    return text.select(
+        "text", d.alias("day"), fn.month_start(d).alias("month_start"), fn.week_start(d).alias("week_start"), fn.week_end(d).alias("week_end")
+    )

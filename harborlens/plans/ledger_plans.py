@@ -377,3 +377,16 @@ def clip_ledger(t: Tables):
 )
 def rank_products(t: Tables):
     return ops.rank_products(pnl_detail(t), 20)
+
+
+@query(
+    "valuation_by_plant",
+    f"""WITH {STOCK_SQL}, {PRICE_SQL} SELECT plant, COUNT(*) AS skus,
+    CAST(SUM(CAST(ROUND(stock * price / unit, 2) AS DECIMAL(18, 4))) AS DOUBLE) AS value
+    FROM stock JOIN prices USING (material) GROUP BY ROLLUP (plant)""",
+)
+def valuation_by_plant(t: Tables):
+    valued = stock(t).join(prices(t), "material").withColumn(
+        "value", fn.item_value(F.col("stock"), F.col("price"), F.col("unit"))
+    )
+    return ops.valuation_by(valued, "plant")

@@ -276,3 +276,13 @@ def what_if_pricing(t: Tables):
         return F.sum(F.when(F.col("l_quantity") >= variant["from_qty"], less).otherwise(price)).cast("double")
 
     return params.what_if(t.lineitem, VARIANTS, revenue, ["l_returnflag"])
+
+
+@query("shortage_and_volatility")
+def shortage_and_volatility(t: Tables):
+    """Two milder demand variants: longer lead times, and quantities between a fifth and twice the usual."""
+    customers = t.customer.selectExpr("c_custkey AS customer")
+    make = lambda label, **how: scenario.extra_demand(
+        order_lines(t), customers, 10, day("2002-01-01"), F.lit(10**12), seed=6, **how
+    ).withColumn("variant", F.lit(label))
+    return make("shortage", lead_days=(30, 60)).unionByName(make("volatility", spread=(0.2, 2.0)))
