@@ -325,15 +325,18 @@ def allocate_stock(requests: DataFrame, stock: DataFrame, order: list[str]) -> D
 
 
 def fifo_batches(
-    requests: DataFrame, batches: DataFrame, request_order: list[str], batch_order: list[str], span: float = 512.0
+    requests: DataFrame, batches: DataFrame, request_order: list[str], batch_order: list[str], span: float | None = None
 ) -> DataFrame:
     """Split requests over batches, oldest first.
 
     Requests and batches are laid end to end per key; a request draws from the batches its range
-    overlaps. Ranges meet in cells of ``span`` units, so a key's size does not matter. A request
-    is split over several batches, which single-batch picking would not do.
+    overlaps. Ranges meet in cells of ``span`` units, so a key's size does not matter; by default
+    a cell is sixteen times the larger mean quantity, which keeps the number of cells below that of
+    the rows. A request is split over several batches, which single-batch picking would not do.
     """
     keys = ["material", "plant"]
+    mean = lambda df: F.coalesce(df.agg(F.avg("qty")).scalar(), F.lit(1.0))
+    span = F.lit(span) if span else F.greatest(mean(requests), mean(batches), F.lit(1e-9)) * F.lit(16.0)
 
     def ranges(df: DataFrame, order: list[str], name: str) -> DataFrame:
         high = prefix_scan(df, keys, "posted", order, F.col("qty"), f"{name}_high")
