@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborlens.llm import mixing, sharding, simhash
+from harborlens.llm import fingerprint, mixing, sharding, simhash, toxicity
 from harborlens.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,13 @@ def op6_shard_by_bytes(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_simhash")
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op10_piecewise_hash")
+def op10_piecewise_hash(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.compare_with_edits(table(spark, folder, "documents"))
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
