@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborlens.llm import fingerprint, mixing, sharding, simhash, suffix, toxicity
+from harborlens.llm import fingerprint, mixing, sharding, simhash, suffix, toxicity, warc
 from harborlens.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,9 @@ def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op8_warc_bundles", warc.READ_BACK_SQL)
+def op8_warc_bundles(spark: SparkSession, folder: str) -> DataFrame:
+    index = warc.archive(table(spark, folder, "pages"), warc.fresh_folder(spark))
+    return warc.read_back(index)
