@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborlens.llm import fingerprint, mixing, sharding, simhash, suffix, toxicity, warc
+from harborlens.llm import decontam, fingerprint, mixing, sharding, simhash, suffix, toxicity, warc
 from harborlens.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,15 @@ def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op8_warc_bundles(spark: SparkSession, folder: str) -> DataFrame:
     index = warc.archive(table(spark, folder, "pages"), warc.fresh_folder(spark))
     return warc.read_back(index)
+
+
+@query("op9_decontaminate")
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontam.find_items(
+        table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark")
+    )
+    return found.select(
+        "doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").alias("n_items"),
+        F.transform("hits", lambda h: h["item_id"]).alias("item_ids"), F.transform("hits", lambda h: h["edits"]).alias("edits"),
+        F.transform("hits", lambda h: h["start"]).alias("first_words"), F.transform("hits", lambda h: h["end"]).alias("end_words"),
+    )
