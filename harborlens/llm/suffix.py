@@ -26,13 +26,19 @@ SEGMENT = 1 << 22
 BASE = np.uint64(0x5851F42D4C957F2D)
 
 
-def gram_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of the 16 bytes from every start."""
+def eight_bytes(data: bytes) -> np.ndarray:
+    """The eight bytes from every start as a number."""
     n = len(data) - 7
     eight = np.empty(n, np.uint64)
     for shift in range(8):
         part = np.frombuffer(data, "<u8", offset=shift, count=(len(data) - shift) // 8)
         eight[shift::8] = part[:(n - shift + 7) // 8]
+    return eight
+
+
+def gram_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of the 16 bytes from every start."""
+    eight = eight_bytes(data)
     n = len(data) - GRAM + 1
     out = eight[:n] * np.uint64(0x9E3779B97F4A7C15)
     out ^= eight[8:8 + n] * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -163,6 +169,7 @@ class PrefixHashes:
 
     def __init__(self, data: bytes):
         self.bytes = np.frombuffer(data, np.uint8)
+        self.eight = eight_bytes(data)
         powers = np.full(len(data) + 1, BASE)
         powers[0] = 1
         self.powers = np.multiply.accumulate(powers)
@@ -171,115 +178,138 @@ class PrefixHashes:
 
     def common(self, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
         """Length of the common extension of suffix pairs, up to ``most``, by binary search."""
-        low = np.zeros(len(i), np.int64)
-        high = np.full(len(i), most, np.int64)
-        lift_i, lift_j = self.powers[len(self.bytes) - i], self.powers[len(self.bytes) - j]
-        while True:
-            open_ = low < high
-            if not open_.any():
-                return low
-            middle = (low + high + 1) // 2
-            same = (self.sums[i + middle] - self.sums[i]) * lift_i == (self.sums[j + middle] - self.sums[j]) * lift_j
-            low = np.where(open_ & same, middle, low)
-            high = np.where(open_ & ~same, middle - 1, high)
+        # Moving the hash of i up by the distance of the two makes equal substrings equal.
+        swap = i > j
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        lift, from_i, from_j = self.powers[j - i], self.sums[i], self.sums[j]
+        length = np.zeros(len(i), np.int64)
+        step = 1 << (most.bit_length() - 1)
+        while step:
+            tried = np.minimum(length + step, most)
+            same = (self.sums[i + tried] - from_i) * lift == self.sums[j + tried] - from_j
+            length = np.where(same, tried, length)
+            step //= 2
+        return length
 
     def after(self, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
         """Whether suffix i comes after suffix j, by the byte behind the common extension."""
         shared = self.common(i, j, most)
-        rest = shared < most
-        out = np.zeros(len(i), bool)
-        out[rest] = self.bytes[i[rest] + shared[rest]] > self.bytes[j[rest] + shared[rest]]
-        return out
+        at = np.minimum(shared, most - 1)  # equal suffixes have equal last bytes
+        return self.bytes[i + at] > self.bytes[j + at]
 
+    def equal(self, i: np.ndarray, j: np.ndarray, length: int) -> np.ndarray:
+        """Whether the bytes themselves are equal."""
+        same = np.ones(len(i), bool)
+        for shift in [*range(0, length - 8, 8), length - 8]:
+            same &= self.eight[i + shift] == self.eight[j + shift]
+        return same
 
-def sort_suffixes(hashes: PrefixHashes, suffixes: np.ndarray, classes: np.ndarray, length: int) -> np.ndarray:
-    """Order of the suffixes, by class and then by their first ``length`` bytes.
 
-    Bottom-up mergesort of all classes at once: each round merges pairs of sorted runs, where every
-    element finds its place in the other run by binary search; an element compares with logarithmic
-    work, a class is done after the logarithm of its size.
+def sort_suffixes(hashes: PrefixHashes, suffixes: np.ndarray, classes: np.ndarray, length: int) -> np.ndarray | None:
+    """For each suffix the number of one that stands for all equal ones (in the first ``length`` bytes) of its class.
+
+    Bottom-up mergesort of all classes at once. A round merges pairs of sorted runs: every element
+    finds its place in the other run by binary search, with logarithmic work per comparison. Equal
+    elements come together and only the first goes on, so a string that a hot class repeats a
+    thousand times is compared about twice each. Hashes that agree where bytes do not: None.
     """
-    order = np.argsort(classes, kind="stable")
-    starts = np.flatnonzero(np.r_[True, classes[order][1:] != classes[order][:-1]])
-    sizes = np.diff(np.r_[starts, len(order)])
-    begin = np.repeat(starts, sizes)
-    size = np.repeat(sizes, sizes)
-    width = 1
-    while len(order) and width < sizes.max():
-        active = np.flatnonzero(size > width)
-        inside = active - begin[active]
-        run = inside // width
-        other = np.where(run % 2 == 0, run + 1, run - 1) * width
-        count = np.clip(size[active] - other, 0, width)
-        mine = suffixes[order[active]]
-        low, high = np.zeros(len(active), np.int64), count.copy()
-        while True:
-            open_ = np.flatnonzero(low < high)
-            if not len(open_):
-                break
-            middle = (low[open_] + high[open_]) // 2
-            theirs = suffixes[order[begin[active][open_] + other[open_] + middle]]
-            # Elements of left runs come before equal ones of right runs.
-            left = run[open_] % 2 == 0
-            before = np.where(left, hashes.after(mine[open_], theirs, length), ~hashes.after(theirs, mine[open_], length))
-            low[open_] = np.where(before, middle + 1, low[open_])
-            high[open_] = np.where(before, high[open_], middle)
-        place = begin[active] + np.minimum(run, np.where(run % 2 == 0, run, run - 1)) * width + inside % width + low
-        merged = order.copy()
-        merged[place] = order[active]
-        order = merged
-        width *= 2
-    return order
-
-
-def earliest_holders(contents: list[bytes], groups: np.ndarray, first: np.ndarray, length: int) -> list[np.ndarray | None]:
+    stands = np.arange(len(suffixes))
+    element = np.argsort(classes, kind="stable")
+    owner = classes[element]
+    run = np.arange(len(element))
+    while True:
+        # Leave out the classes with a single run.
+        new_class = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
+        ends = np.r_[new_class[1:], len(owner)]
+        open_ = run[new_class] != run[ends - 1] if len(owner) else np.zeros(0, bool)
+        keep = np.repeat(open_, ends - new_class)
+        element, owner, run = element[keep], owner[keep], run[keep]
+        if not len(element):
+            break
+        starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        sizes = np.diff(np.r_[starts, len(run)])
+        first_of_class = np.r_[True, owner[starts][1:] != owner[starts][:-1]]
+        number = np.arange(len(starts)) - np.maximum.accumulate(np.where(first_of_class, np.arange(len(starts)), 0))
+        left = number % 2 == 0
+        has_right = left & np.r_[left[1:] != left[:-1], False] & np.r_[~first_of_class[1:], False]
+        partner = np.where(left, np.where(has_right, np.arange(len(starts)) + 1, -1), np.arange(len(starts)) - 1)
+        pair_start = np.where(left, starts, starts[np.maximum(np.arange(len(starts)) - 1, 0)])
+        of = np.repeat(np.arange(len(starts)), sizes)
+        inside = np.arange(len(element)) - starts[of]
+        low = np.zeros(len(element), np.int64)
+        high = np.where(partner[of] >= 0, sizes[partner[of]], 0)
+        base = starts[partner[of]]
+        mine = suffixes[element]
+        todo = np.flatnonzero(low < high)
+        while len(todo):
+            middle = (low[todo] + high[todo]) // 2
+            theirs = suffixes[element[base[todo] + middle]]
+            from_left = left[of[todo]]
+            i, j = np.where(from_left, mine[todo], theirs), np.where(from_left, theirs, mine[todo])
+            later = hashes.after(i, j, length)  # an equal element of the left run comes first
+            up = np.where(from_left, later, ~later)
+            low[todo] = np.where(up, middle + 1, low[todo])
+            high[todo] = np.where(up, high[todo], middle)
+            todo = todo[low[todo] < high[todo]]
+        place = pair_start[of] + inside + low
+        merged, merged_owner, merged_run = np.empty_like(element), np.empty_like(owner), np.empty_like(run)
+        merged[place], merged_owner[place] = element, owner
+        merged_run[place] = pair_start[of]
+        near = np.flatnonzero(merged_run[1:] == merged_run[:-1])
+        a, b = suffixes[merged[near]], suffixes[merged[near + 1]]
+        alike = hashes.common(a, b, length) == length
+        if not hashes.equal(a[alike], b[alike], length).all():
+            return None  # collision verification failed
+        drop = np.zeros(len(merged), bool)
+        drop[near[alike] + 1] = True
+        head = np.maximum.accumulate(np.where(drop, 0, np.arange(len(merged))))
+        stands[merged[drop]] = merged[head[drop]]
+        element, owner, run = merged[~drop], merged_owner[~drop], merged_run[~drop]
+    while True:
+        further = stands[stands]
+        if np.array_equal(further, stands):
+            return stands
+        stands = further
+
+
+def earliest_holders(contents: list[bytes], first: np.ndarray, length: int) -> list[np.ndarray | None]:
     """For each snippet the lowest text position that has the string at each of its starts.
 
-    ``groups`` is the snippets' minimizer, ``first`` the lowest position that has the whole snippet.
-    A snippet whose minimizer no other snippet has needs no sort (None).
+    ``first`` is the lowest position that has the whole snippet. A snippet whose minimizer no other
+    snippet has needs no sort (None).
     """
-    kinds, group, count = np.unique(groups, return_inverse=True, return_counts=True)
+    data = b"".join(contents)
+    lengths = np.array([len(c) for c in contents])
+    begins = np.r_[0, np.cumsum(lengths)[:-1]]
+    grams = gram_hashes(data)
+    groups = grams[begins]
+    for shift in range(1, length - GRAM + 1):
+        np.minimum(groups, grams[begins + shift], out=groups)
+    _, group, count = np.unique(groups, return_inverse=True, return_counts=True)
     out: list[np.ndarray | None] = [None] * len(contents)
     chosen = np.flatnonzero(count[group] > 1)
     if not len(chosen):
         return out
-    data = b"".join(contents[i] for i in chosen)
-    lengths = np.array([len(contents[i]) for i in chosen])
-    begins = np.r_[0, np.cumsum(lengths)[:-1]]
-    starts = lengths - length + 1
-    owner = np.repeat(np.arange(len(chosen)), starts)
-    suffix = np.arange(starts.sum()) - np.repeat(np.r_[0, np.cumsum(starts)[:-1]], starts) + np.repeat(begins, starts)
-    # Equal strings have their minimizer at the same distance: only those are compared.
-    grams = gram_hashes(data)
-    positions = np.repeat(groups[chosen], lengths)[:len(grams)]
-    hits = np.flatnonzero(grams == positions)
+    starts = (lengths - length + 1)[chosen]
+    owner = np.repeat(chosen, starts)
+    suffix = np.arange(starts.sum()) - np.repeat(np.r_[0, np.cumsum(starts)[:-1]], starts) + np.repeat(begins[chosen], starts)
+    # Equal strings have their minimizer at the same distance and the same first bytes: only those are compared.
+    hits = np.flatnonzero(grams == np.repeat(groups, lengths)[:len(grams)])
     distance = hits[np.searchsorted(hits, suffix)] - suffix
-    del grams, positions
-    label = group[chosen][owner].astype(np.int64) * length + distance
-    classes = np.unique(label, return_inverse=True)[1]
     hashes = PrefixHashes(data)
-    order = sort_suffixes(hashes, suffix, classes, length)
-    sorted_suffix, sorted_class = suffix[order], classes[order]
-    same = sorted_class[1:] == sorted_class[:-1]
-    pairs = np.flatnonzero(same)
-    equal = hashes.common(sorted_suffix[pairs], sorted_suffix[pairs + 1], length) == length
-    # Collision verification: hashes that agree must mean bytes that agree.
-    checked = pairs[equal]
-    for shift in range(length):
-        if not np.array_equal(hashes.bytes[sorted_suffix[checked] + shift], hashes.bytes[sorted_suffix[checked + 1] + shift]):
-            strings = [bytes(data[s:s + length]) for s in suffix]
-            order = np.array(sorted(range(len(suffix)), key=strings.__getitem__))
-            ranked = [strings[i] for i in order]
-            joined = np.array([a == b for a, b in zip(ranked, ranked[1:])], bool)
-            break
-    else:
-        joined = np.zeros(max(0, len(order) - 1), bool)
-        joined[checked] = True
-    runs = np.flatnonzero(np.r_[True, ~joined])
-    least = np.minimum.reduceat(first[chosen][owner[order]], runs)
-    holders = np.empty(len(order), np.int64)
-    holders[order] = np.repeat(least, np.diff(np.r_[runs, len(order)]))
-    for i, part in zip(chosen, np.split(holders, np.cumsum(starts)[:-1])):
+    label = group[owner].astype(np.int64) * length + distance
+    prefix = hashes.eight[suffix]
+    order = np.lexsort((prefix, label))
+    changed = (label[order][1:] != label[order][:-1]) | (prefix[order][1:] != prefix[order][:-1])
+    classes = np.empty(len(order), np.int64)
+    classes[order] = np.r_[0, np.cumsum(changed)]
+    stands = sort_suffixes(hashes, suffix, classes, length)
+    if stands is None:  # 64-bit hashes collided: the same by the strings themselves
+        known: dict[bytes, int] = {}
+        stands = np.array([known.setdefault(data[s:s + length], i) for i, s in enumerate(suffix.tolist())])
+    least = np.full(len(suffix), np.iinfo(np.int64).max)
+    np.minimum.at(least, stands, first[owner])
+    for i, part in zip(chosen.tolist(), np.split(least[stands], np.cumsum(starts)[:-1])):
         out[i] = part
     return out
 
@@ -300,8 +330,7 @@ def _repeats(table: pa.Table, length: int) -> pa.Table:
     contents = list(known)
     first = np.full(len(contents), np.iinfo(np.int64).max)
     np.minimum.at(first, content, rows[:, 0])
-    group = np.array([sliding(gram_hashes(c[:length]), length - GRAM + 1, np.minimum)[0] for c in contents], np.uint64)
-    holders = earliest_holders(contents, group, first, length)
+    holders = earliest_holders(contents, first, length)
     alone = np.array([h is None for h in holders])
     whole = alone[content] & (first[content] < rows[:, 0])
     spans = [rows[whole][:, :3]]
@@ -362,7 +391,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_column: str = "doc_id",
         .join(first.select("key", F.col("first").alias("at")), "key").select("at", "key", "names")
     )
     base = rows.select("id", "at", "key", "bytes")
-    snippets = base.join(wanted, ["at", "key"], "left").select("at", "key", "bytes", "names").mapInArrow(
+    # The same columns as in the join below, so that Spark moves the texts once for both.
+    snippets = base.join(wanted, ["at", "key"], "left").select("id", "at", "key", "bytes", "names").mapInArrow(
         lambda batches: _cut_snippets(batches, length, buckets), "bucket int, places binary, snippets binary"
     )
     repeats = snippets.groupBy("bucket").applyInArrow(lambda t: _repeats(t, length), "at long, key long, span long")
