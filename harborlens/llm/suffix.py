@@ -2,7 +2,7 @@
 
 Equal strings have to meet before they can be compared, and a table of all suffixes does not fit
 any budget. Every string of ``length`` bytes therefore goes where its minimizer (the least hash of
-its 16-byte grams) sends it; neighbours mostly share it, so they travel as one snippet. Minimizers
+its 24-byte grams) sends it; neighbours mostly share it, so they travel as one snippet. Minimizers
 that only one text has are settled before any text moves. Inside a bucket the suffixes of the
 snippets are merge-sorted; a comparison finds the common extension by binary search over prefix
 polynomial hashes, and equal neighbours are verified byte by byte.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from harborlens.llm.common import id_order, shuffle_width
 
-GRAM = 16
+GRAM = 24
 #: Longer texts are handled in pieces of so many string starts.
 SEGMENT = 1 << 22
 BASE = np.uint64(0x5851F42D4C957F2D)
@@ -37,11 +37,13 @@ def eight_bytes(data: bytes) -> np.ndarray:
 
 
 def gram_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of the 16 bytes from every start."""
+    """A 64-bit hash of the 24 bytes from every start."""
     eight = eight_bytes(data)
     n = len(data) - GRAM + 1
     out = eight[:n] * np.uint64(0x9E3779B97F4A7C15)
     out ^= eight[8:8 + n] * np.uint64(0xC2B2AE3D27D4EB4F)
+    third = eight[16:16 + n] * np.uint64(0xA0761D6478BD642F)
+    out ^= third ^ (third >> np.uint64(31))
     out ^= out >> np.uint64(32)
     out *= np.uint64(0xD6E8FEB86659FD93)
     out ^= out >> np.uint64(29)
@@ -272,11 +274,11 @@ def sort_suffixes(hashes: PrefixHashes, suffixes: np.ndarray, classes: np.ndarra
         stands = further
 
 
-def earliest_holders(contents: list[bytes], first: np.ndarray, length: int) -> list[np.ndarray | None]:
-    """For each snippet the lowest text position that has the string at each of its starts.
+def earliest_holders(contents: list[bytes], first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place per snippet, holders): for each of a snippet's starts the lowest text position that has the string there.
 
-    ``first`` is the lowest position that has the whole snippet. A snippet whose minimizer no other
-    snippet has needs no sort (None).
+    A snippet's holders begin at its place. ``first`` is the lowest position that has the whole
+    snippet. One whose minimizer no other snippet has needs no sort and has place -1.
     """
     data = b"".join(contents)
     lengths = np.array([len(c) for c in contents])
@@ -286,13 +288,14 @@ def earliest_holders(contents: list[bytes], first: np.ndarray, length: int) -> l
     for shift in range(1, length - GRAM + 1):
         np.minimum(groups, grams[begins + shift], out=groups)
     _, group, count = np.unique(groups, return_inverse=True, return_counts=True)
-    out: list[np.ndarray | None] = [None] * len(contents)
+    place = np.full(len(contents), -1)
     chosen = np.flatnonzero(count[group] > 1)
     if not len(chosen):
-        return out
+        return place, np.zeros(0, np.int64)
     starts = (lengths - length + 1)[chosen]
+    place[chosen] = np.r_[0, np.cumsum(starts)[:-1]]
     owner = np.repeat(chosen, starts)
-    suffix = np.arange(starts.sum()) - np.repeat(np.r_[0, np.cumsum(starts)[:-1]], starts) + np.repeat(begins[chosen], starts)
+    suffix = np.arange(starts.sum()) + np.repeat(begins[chosen] - place[chosen], starts)
     # Equal strings have their minimizer at the same distance and the same first bytes: only those are compared.
     hits = np.flatnonzero(grams == np.repeat(groups, lengths)[:len(grams)])
     distance = hits[np.searchsorted(hits, suffix)] - suffix
@@ -309,9 +312,7 @@ def earliest_holders(contents: list[bytes], first: np.ndarray, length: int) -> l
         stands = np.array([known.setdefault(data[s:s + length], i) for i, s in enumerate(suffix.tolist())])
     least = np.full(len(suffix), np.iinfo(np.int64).max)
     np.minimum.at(least, stands, first[owner])
-    for i, part in zip(chosen.tolist(), np.split(least[stands], np.cumsum(starts)[:-1])):
-        out[i] = part
-    return out
+    return place, least[stands]
 
 
 def _repeats(table: pa.Table, length: int) -> pa.Table:
@@ -330,21 +331,22 @@ def _repeats(table: pa.Table, length: int) -> pa.Table:
     contents = list(known)
     first = np.full(len(contents), np.iinfo(np.int64).max)
     np.minimum.at(first, content, rows[:, 0])
-    holders = earliest_holders(contents, first, length)
-    alone = np.array([h is None for h in holders])
-    whole = alone[content] & (first[content] < rows[:, 0])
-    spans = [rows[whole][:, :3]]
-    ends = [rows[whole][:, 2] + rows[whole][:, 3]]
-    for i in np.flatnonzero(~alone[content]).tolist():
-        at, key, start, _ = rows[i].tolist()
-        covered = holders[content[i]] < at
-        if not covered.any():
-            continue
-        edges = np.flatnonzero(np.diff(np.r_[False, covered, False].astype(np.int8)))
-        spans.append(np.array([(at, key, start + a) for a in edges[::2]], np.int64))
-        ends.append(start + edges[1::2] + length - 1)
-    spans, ends = np.concatenate(spans), np.concatenate(ends)
-    return pa.table({"at": spans[:, 0], "key": spans[:, 1], "span": spans[:, 2] << 32 | ends})
+    place, holders = earliest_holders(contents, first, length)
+    whole = rows[(place[content] < 0) & (first[content] < rows[:, 0])]
+    sorted_ = place[content] >= 0
+    part, at = rows[sorted_], place[content][sorted_]
+    starts = part[:, 3] - length + 1
+    begins = np.r_[0, np.cumsum(starts)[:-1]] if len(part) else np.zeros(0, np.int64)
+    inside = np.arange(starts.sum()) - np.repeat(begins, starts)
+    covered = holders[np.repeat(at, starts) + inside] < np.repeat(part[:, 0], starts)
+    head, tail = np.zeros(len(covered), bool), np.zeros(len(covered), bool)
+    head[begins], tail[begins + starts - 1] = True, True
+    opens = np.flatnonzero(covered & (head | ~np.r_[False, covered[:-1]]))
+    closes = np.flatnonzero(covered & (tail | ~np.r_[covered[1:], False]))
+    row = np.searchsorted(begins, opens, side="right") - 1
+    start = np.r_[whole[:, 2], part[row, 2] + inside[opens]]
+    end = np.r_[whole[:, 2] + whole[:, 3], part[row, 2] + inside[closes] + length]
+    return pa.table({"at": np.r_[whole[:, 0], part[row, 0]], "key": np.r_[whole[:, 1], part[row, 1]], "span": start << 32 | end})
 
 
 def merge_spans(spans: np.ndarray, total: int) -> list[tuple[int, int]]:
