@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborlens.llm import decontam, fingerprint, mixing, sharding, simhash, suffix, toxicity, warc
+from harborlens.llm import decontam, fingerprint, mixing, passages, sharding, simhash, suffix, toxicity, warc
 from harborlens.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         F.transform("hits", lambda h: h["item_id"]).alias("item_ids"), F.transform("hits", lambda h: h["edits"]).alias("edits"),
         F.transform("hits", lambda h: h["start"]).alias("first_words"), F.transform("hits", lambda h: h["end"]).alias("end_words"),
     )
+
+
+@query("op1_repeated_passages")
+def op1_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.near_duplicate_passages(table(spark, folder, "documents").select("doc_id", "text"))
