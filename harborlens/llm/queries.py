@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborlens.llm import decontam, fingerprint, mixing, passages, sharding, simhash, suffix, toxicity, warc
+from harborlens.llm import decontam, fingerprint, mixing, passages, sharding, simhash, suffix, surrogate, toxicity, warc
 from harborlens.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_repeated_passages")
 def op1_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return passages.near_duplicate_passages(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op5_pii_surrogates")
+def op5_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return surrogate.replace_entities(table(spark, folder, "documents").select("doc_id", "text"))
