@@ -10,8 +10,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from harborlens.llm.common import hidden
+from harborlens.llm.common import hidden, id_order
 from harborlens.operators.graph import connected_components
 from harborlens.session import cut_lineage
 
@@ -117,6 +118,19 @@ def links(prints: DataFrame, most: int = 2, pivots: int = PIVOTS, pair_bucket: i
     return pairs.unionByName(star).distinct()
 
 
+def classes_of(rows: DataFrame) -> DataFrame:
+    """(fp, component): the component of a fingerprint is the smallest one (as a number) that links reach.
+
+    ``rows`` has a column _fp; equal fingerprints are one node of the graph.
+    """
+    nodes = cut_lineage(rows.select(F.col("_fp").alias("fp")).distinct())
+    found = links(nodes.select(F.col("fp").alias("id"), "fp"))
+    joined = connected_components(found.select("src", "dst"))
+    return cut_lineage(
+        nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"))
+    )
+
+
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3,
 ) -> DataFrame:
@@ -124,17 +138,34 @@ def near_duplicates(
 
     The component is the smallest id that links reach: equal fingerprints, and fingerprints that
     differ in at most two bits. Texts without words (null, empty, blank) have fingerprint zero and
-    are linked like any other. Rows with equal fingerprints are one node of the graph. A row with a
-    null id belongs to its component too, whose name is the smallest id that is not null (null if
-    all are). An empty table gives an empty result; other columns are not touched.
+    are linked like any other. A row with a null id belongs to its component too, whose name is the
+    smallest id that is not null (null if all are). An empty table gives an empty result; other
+    columns are not touched.
     """
-    rows = cut_lineage(add_fingerprints(docs.select(F.col(id_column).alias(id_column), F.col(text_column).alias("_text")), "_text", "_fp", width))
-    nodes = cut_lineage(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(id_column).alias("least")))
-    found = links(nodes.select(F.col("fp").alias("id"), "fp"))
-    joined = connected_components(found.select("src", "dst"))
-    classes = cut_lineage(nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
-    smallest = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    rows = docs.select(F.col(id_column).alias(id_column), F.col(text_column).alias("_text"))
+    rows = cut_lineage(add_fingerprints(rows, "_text", "_fp", width))
+    classes = classes_of(rows)
+    least = rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(id_column).alias("least"))
+    smallest = classes.join(least, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
     named = classes.join(smallest, "component").select("fp", "component_id")
     return rows.join(named, rows["_fp"] == named["fp"]).select(
         id_column, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest id.
+
+    A null id counts as the smallest. Of rows that share the smallest id the one whose text hashes
+    lowest stays, of equal rows any one; what stays is a row of the input.
+    """
+    at, mark, place = hidden(docs, "_at", "_mark", "_place")
+    keys = docs.withColumns({at: id_order(id_column), mark: F.xxhash64(text_column)})
+    rows = keys.select(F.col(at).alias("i_"), F.col(mark).alias("m_"), F.col(text_column).alias("_text"))
+    rows = cut_lineage(add_fingerprints(rows, "_text", "_fp", width))
+    classes = classes_of(rows)
+    least = rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(F.struct("i_", "m_")).alias("least"))
+    chosen = classes.join(least, "fp").groupBy("component").agg(F.min("least").alias("least")).select("least.i_", "least.m_")
+    kept = keys.join(chosen, (F.col(at) == F.col("i_")) & (F.col(mark) == F.col("m_")), "left_semi")
+    first = Window.partitionBy(at, mark).orderBy(F.lit(1))
+    return kept.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).select(*docs.columns)
