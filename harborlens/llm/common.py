@@ -23,6 +23,11 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Texts cross to Python in batches of few rows, so that a worker holds some megabytes of them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def hidden(df: DataFrame, *names: str) -> list[str]:
     """Names like the given ones that no column of the frame has, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborlens.llm.common import slices
+from harborlens.llm.common import bounded_batches, slices
 
 #: Items are compared in blocks of so many; each block is one pass over the documents' words.
 BLOCK_ITEMS = 20_000
@@ -245,6 +245,7 @@ def find_items(
     are reported by each id, an empty table of either kind is allowed. A column named hits is replaced.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     kept = [c for c in docs.columns if c.lower() != "hits"]
     items = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null")
     count = items.count()

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborlens.llm.common import id_order, id_ranges, shuffle_width
+from harborlens.llm.common import bounded_batches, id_order, id_ranges, shuffle_width
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 WINDOW = 7
@@ -106,6 +106,7 @@ def likeness(one: str, other: str) -> float:
 
 def add_fingerprints(docs: DataFrame, text_column: str = "text", out: str = "fingerprint") -> DataFrame:
     """The rows with the fingerprint of their text (null: that of the empty text)."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,6 +134,7 @@ def compare_with_edits(docs: DataFrame, id_column: str = "doc_id", text_column:
     document is its own next one. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     width = shuffle_width(spark)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), id_order(id_column).alias("at"), F.col(text_column).alias("text"))
     range_of = id_ranges(rows.select("at"), F.col("at"), 4 * width)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from harborlens.llm.common import hidden, id_order
+from harborlens.llm.common import bounded_batches, hidden, id_order
 from harborlens.operators.graph import connected_components
 from harborlens.session import cut_lineage
 
@@ -47,6 +47,7 @@ def fingerprint(text: bytes | None, width: int = 3) -> bytes:
 
 def add_fingerprints(docs: DataFrame, text_column: str = "text", out: str = "_fp", width: int = 3) -> DataFrame:
     """The rows without their text, with the fingerprint as a long."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborlens.llm.common import id_order, shuffle_width
+from harborlens.llm.common import bounded_batches, id_order, shuffle_width
 
 GRAM = 24
 #: Longer texts are handled in pieces of so many string starts.
@@ -83,20 +83,18 @@ def _by_bucket(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
         yield (int(bucket[a]), *(c[a:b] for c in columns))
 
 
+def packed_names(hashes: list[np.ndarray], texts: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """One row per bucket: the short names of its hashes and the texts that have them."""
+    bucket, name = short_names(np.concatenate(hashes), buckets)
+    rows = [(b, n.tobytes(), t.tobytes()) for b, n, t in _by_bucket(bucket, name, np.concatenate(texts).astype(np.int64))]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "names", "texts"]
+    )
+
+
 def _announce(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """(bucket, names, texts): which minimizers which texts have, packed per bucket."""
     names, texts, held = [], [], 0
-
-    def flush() -> pa.RecordBatch:
-        hashes = np.concatenate(names)
-        bucket, name = short_names(hashes, buckets)
-        rows = [(b, n.tobytes(), t.tobytes()) for b, n, t in _by_bucket(bucket, name, np.concatenate(texts))]
-        columns = list(zip(*rows))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())],
-            names=["bucket", "names", "texts"],
-        )
-
     for batch in batches:
         for key, data in zip(batch.column("key").to_pylist(), batch.column("bytes")):
             for _, part in segments(data.as_py(), length):
@@ -106,13 +104,13 @@ def _announce(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> I
                 texts.append(np.full(len(found), key, np.int64))
                 held += len(found)
             if held >= 4_000_000:
-                yield flush()
+                yield packed_names(names, texts, buckets)
                 names, texts, held = [], [], 0
     if held:
-        yield flush()
+        yield packed_names(names, texts, buckets)
 
 
-def _shared_names(table: pa.Table, buckets: int) -> pa.Table:
+def shared_names(table: pa.Table, buckets: int) -> pa.Table:
     """(key, name) of texts for the minimizers of a bucket that two different texts have."""
     bucket = table.column("bucket")[0].as_py()
     name = np.frombuffer(b"".join(table.column("names").to_pylist()), np.uint32)
@@ -372,6 +370,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_column: str = "doc_id",
     if length < GRAM + 8:
         raise ValueError(f"strings of {GRAM + 8} bytes at least")
     spark = docs.sparkSession
+    bounded_batches(spark)
     buckets = 3 * shuffle_width(spark)
     rows = docs.select(
         F.col(id_column).alias("id"), id_order(id_column).alias("at"),
@@ -387,7 +386,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_column: str = "doc_id",
     announced = long_rows.select("key", "bytes").mapInArrow(
         lambda batches: _announce(batches, length, buckets), "bucket int, names binary, texts binary"
     )
-    shared = announced.groupBy("bucket").applyInArrow(lambda t: _shared_names(t, buckets), "key long, name long")
+    shared = announced.groupBy("bucket").applyInArrow(lambda t: shared_names(t, buckets), "key long, name long")
     wanted = (
         shared.groupBy("key").agg(F.collect_list("name").alias("names"))
         .join(first.select("key", F.col("first").alias("at")), "key").select("at", "key", "names")

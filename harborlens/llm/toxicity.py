@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping, Sequence
@@ -13,8 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harborlens.llm.common import bounded_batches
+
 #: The classifier is fitted on at most so many labelled rows, those whose ids hash lowest.
-TRAINING_ROWS = 8000
+TRAINING_ROWS = 5000
 #: Terms for groups of people; a term may be swapped for the others of its row, or for a neutral word.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("woman", "man", "girl", "boy"),
@@ -39,7 +42,7 @@ STEMS = (3, 4, 5, 6, 7)
 
 
 def words_of(text: str | None) -> set[str]:
-    return set(TOKEN.findall((text or "").lower()))
+    return set(map(sys.intern, TOKEN.findall((text or "").lower())))
 
 
 def features(words: set[str]) -> set[str]:
@@ -171,6 +174,7 @@ def train(
 
 def add_scores(docs: DataFrame, model: Model, text_column: str = "text", out: str = "score", keep_text: bool = False) -> DataFrame:
     """The rows with their score. Null and empty texts have no words and get the intercept's score."""
+    bounded_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() != out.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborlens.llm.common import shuffle_width
+from harborlens.llm.common import bounded_batches, shuffle_width
 from harborlens.session import cut_lineage, scratch_path
 
 # Fixed values of the formats: skippable frame and seek table of seekable Zstandard, WARC revisit profile.
@@ -123,6 +123,7 @@ def archive(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", l
     escaped. Rows with equal page_id and payload are both written; a null page_id can revisit, but
     is never the smallest while another id has the payload. No pages, no bundles, an empty index.
     """
+    bounded_batches(pages.sparkSession)
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload")
     ).withColumn("digest", F.sha2("payload", 256))
