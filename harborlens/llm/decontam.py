@@ -201,8 +201,8 @@ class Index:
             item, most = self.items[i], self.allowed[i]
             text = owner[seen]
             key = (int(text), self.ids[i])
-            if key in best and (best[key][0] == 0 or abs(best[key][1] - begin) <= most):
-                continue  # the same place again
+            if key in best and best[key][0] == 0:
+                continue
             first, last = bounds[text], bounds[text + 1]
             a, b = max(first, begin - most), min(last, begin + len(item) + most)
             if len(self.words[i].intersection(names[a:b].tolist())) < len(self.words[i]) - most:
