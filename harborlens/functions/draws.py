@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SCALE = 1_000_000
+BITS = 52
 
 
 def hash_draw(*key: str | Column, seed: int = 0, tag: str = "") -> Column:
-    """A number in [0, 1) that is a function of the row key, the seed and the tag only."""
-    columns = [F.col(k) if isinstance(k, str) else k for k in key]
-    return F.pmod(F.xxhash64(*columns, F.lit(seed), F.lit(tag)), F.lit(SCALE)) / F.lit(SCALE)
+    """A number in [0, 1) that is a function of the row key, the seed and the tag only.
 
+    The first 52 bits of the MD5 of key, seed and tag, joined by bars: draws for different tags are
+    independent, and every SQL engine can repeat them. Null parts of a key count as a tilde.
+    """
+    columns = [F.col(k) if isinstance(k, str) else k for k in key]
+    text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("~")) for c in columns], F.lit(str(seed)), F.lit(tag))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, BITS // 4), 16, 10).cast("long") / F.lit(float(2**BITS))
 
-def key_draw(key: Column, seed: int = 0) -> Column:
-    """The same for an integer key by plain arithmetic, so that other SQL engines agree.
 
-    Two multiplicative congruential steps (fixed values 48271 and 69621 modulo 2**31 - 1) spread
-    neighbouring keys.
-    """
-    modulus = F.lit(2147483647)
-    first = F.pmod((F.pmod(key.cast("long"), modulus) + F.lit(seed + 1)) * F.lit(48271), modulus)
-    return F.pmod(first * F.lit(69621), modulus) / modulus
+def draw_sql(*key: str, seed: int = 0, tag: str = "") -> str:
+    """The same in DuckDB, for keys that are not null."""
+    text = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in key)
+    return f"(CAST('0x' || substr(md5({text} || '|{seed}|{tag}'), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"
 
 
 def pick(draw: Column, *choices: Column) -> Column:

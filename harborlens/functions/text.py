@@ -13,7 +13,10 @@ STOPWORDS = (
 ).split()
 
 # Words a written label must not contain.
-LABEL_STOPWORDS = "the a an of for in on to and or is it with by at".split()
+LABEL_STOPWORDS = [
+    "the", "a", "an", "of", "for", "in", "on", "to", "and", "or", "is", "it", "with", "by", "at", "as", "be", "are", "was",
+    "were", "this", "that", "from", "but", "not", "no",
+]
 
 # Limits on slugs and labels.
 SLUG_PATTERN = "^[a-z0-9]+(-[a-z0-9]+)*$"
@@ -95,6 +98,12 @@ def length_bucket(tokens: Column) -> Column:
     )
 
 
+def padded(number: Column, width: int) -> Column:
+    """The number with leading zeros up to the width; a longer one keeps all its digits."""
+    digits = number.cast("string")
+    return F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
+
+
 def stable_id(text: Column) -> Column:
     return F.sha2(text, 256)
 

@@ -1,7 +1,6 @@
 """Deliberately dirty copies of tables.
 
-Every choice is a draw in [0, 1) that the caller derives from the row key (``hash_draw`` or
-``key_draw``), so a table comes out the same however it is partitioned. ``draw(tag)`` returns the
+Every choice is a draw in [0, 1) that the caller derives from the row key (``hash_draw``), so a table comes out the same however it is partitioned. ``draw(tag)`` returns the
 draw for one purpose.
 """
 
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborlens.functions.draws import hash_draw, pick
+from harborlens.functions.text import padded
 
 Draw = Callable[[str], Column]
 
@@ -60,7 +60,7 @@ def dirty_dates(df: DataFrame, columns: list[str], rate: float, draw: Draw) -> D
 
 def inject_orphans(df: DataFrame, column: str, row_id: Column, rate: float, draw: Draw, prefix: str = "ORPHAN") -> DataFrame:
     """Chosen rows get a key no parent has: the prefix and the row's own number."""
-    made = F.concat(F.lit(prefix + "_"), F.lpad(row_id.cast("string"), 6, "0"))
+    made = F.concat(F.lit(prefix + "_"), padded(row_id, 6))
     return _replace(df, column, draw(column + " orphan") < rate, made)
 
 

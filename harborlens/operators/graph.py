@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from harborlens.operators.scan import salted_join
 from harborlens.session import cut_lineage
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the component is its smallest node.
 
     Large-star and small-star steps alternate until the edges stop changing, which takes a number
@@ -20,7 +22,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     nodes = cut_lineage(pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct())
     current = cut_lineage(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
-    for _ in range(max_rounds):
+    while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = salted_join(both, lowest, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -34,24 +36,29 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark == seen:
             break
         mark = seen
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(current, "u", "left").select(
         F.col("u").alias("node"), F.coalesce("v", "u").alias("component")
     )
 
 
-def reachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame, directed: bool = True, max_rounds: int = 1000) -> DataFrame:
-    """(node, distance) for everything reachable from the roots; an unknown root is an error."""
+def reachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame, directed: bool = True, max_rounds: int | None = None) -> DataFrame:
+    """(node, distance) for everything reachable from the roots; an unknown root is an error.
+
+    The steps are written once, so that a round reads them instead of building them again. The
+    search ends when a round finds nothing new; ``max_rounds`` makes a longer one an error.
+    """
     unknown = roots.select("node").join(nodes.select("node"), "node", "left_anti").limit(3).collect()
     if unknown:
         raise ValueError(f"unknown roots: {[r.node for r in unknown]}")
     steps = edges.select("src", "dst")
     if not directed:
         steps = steps.unionByName(steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    steps = cut_lineage(steps.repartition("src"))
     frontier = cut_lineage(roots.select("node").distinct().withColumn("distance", F.lit(0)))
     visited = frontier
-    for distance in range(1, max_rounds + 1):
+    for distance in count(1):
+        if max_rounds is not None and distance > max_rounds:
+            raise RuntimeError(f"the search did not end in {max_rounds} rounds")
         next_nodes = (
             steps.join(frontier.select(F.col("node").alias("src")), "src", "left_semi")
             .select(F.col("dst").alias("node")).distinct()
@@ -62,7 +69,6 @@ def reachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame, directed: bo
         if frontier.isEmpty():
             return visited
         visited = visited.unionByName(frontier)
-    raise RuntimeError(f"the search did not end in {max_rounds} rounds")
 
 
 def subgraph(edges: DataFrame, roots: DataFrame, depths: dict[tuple[str, str], int]) -> tuple[DataFrame, DataFrame]:
@@ -102,13 +108,15 @@ def subgraph(edges: DataFrame, roots: DataFrame, depths: dict[tuple[str, str], i
     return vertices, kept
 
 
-def inheritance_closure(parents: DataFrame, max_depth: int | None = None, max_rounds: int = 1000) -> DataFrame:
+def inheritance_closure(parents: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(type_id, ancestor, depth): all ancestors with the shortest depth, itself at 0."""
     direct = parents.select("type_id", "parent").distinct()
     types = direct.select("type_id").unionByName(direct.select(F.col("parent").alias("type_id"))).distinct()
     frontier = cut_lineage(types.select("type_id", F.col("type_id").alias("ancestor"), F.lit(0).alias("depth")))
     closure = frontier
-    for depth in range(1, (max_depth if max_depth is not None else max_rounds) + 1):
+    for depth in count(1):
+        if max_depth is not None and depth > max_depth:
+            return closure
         above = direct.select(F.col("type_id").alias("ancestor"), "parent")
         found = (
             frontier.join(above, "ancestor").select("type_id", F.col("parent").alias("ancestor")).distinct()
@@ -119,9 +127,6 @@ def inheritance_closure(parents: DataFrame, max_depth: int | None = None, max_ro
         if frontier.isEmpty():
             return closure
         closure = closure.unionByName(frontier)
-    if max_depth is None:
-        raise RuntimeError(f"the closure did not end in {max_rounds} rounds")
-    return closure
 
 
 # Dependency graphs of many plans: steps (plan_id, step, concurrent), edges (plan_id, step, depends_on)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from harborlens.functions import ledger as fn
+from harborlens.functions.text import padded
 from harborlens.operators.scan import prefix_scan
 
 
@@ -137,14 +138,17 @@ def pnl_by(pnl: DataFrame) -> DataFrame:
     return with_margin(grouped.withColumn("level", level)).drop("_level")
 
 
-def monthly_pivot(plan: DataFrame, keys: list[str], months: list[str]) -> DataFrame:
-    """Planned quantity with one column per listed month (yyyy-MM)."""
-    return (
-        plan.groupBy(*keys)
-        .pivot("month", months)
-        .agg(F.sum("qty"))
-        .na.fill(0.0, months)
-    )
+def monthly_plan(plan: DataFrame, keys: list[str]) -> DataFrame:
+    """Planned quantity per key and month (yyyy-MM), as rows."""
+    return plan.groupBy(*keys, "month").agg(F.sum("qty").alias("qty"))
+
+
+def monthly_pivot(plan: DataFrame, keys: list[str], months: list[str] | None = None) -> DataFrame:
+    """Planned quantity with one column per month: the listed ones, or all of the data's."""
+    rows = monthly_plan(plan, keys)
+    if months is None:
+        months = [r.month for r in rows.select("month").distinct().orderBy("month").collect()]  # one row per month
+    return rows.groupBy(*keys).pivot("month", months).agg(F.first("qty")).na.fill(0.0, months)
 
 
 def weekly_load(plan: DataFrame) -> DataFrame:
@@ -258,12 +262,12 @@ def month_end_snapshots(ledger: DataFrame, opening: DataFrame, keys: list[str])
 
 
 def line_numbers(items: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """Six-digit item numbers in steps of ten within each document.
+    """Item numbers in steps of ten within each document, six digits or more.
 
     The first order column makes the buckets of the scan, so a document may have any number of items.
     """
     numbered = prefix_scan(items, [group], order[0], order, F.lit(1), "_at")
-    return numbered.withColumn("line_no", F.lpad((F.col("_at") * 10).cast("string"), 6, "0")).drop("_at")
+    return numbered.withColumn("line_no", padded(F.col("_at") * 10, 6)).drop("_at")
 
 
 def replenishment(demand: DataFrame, policy: DataFrame, opening_factor: float = 1.2) -> DataFrame:

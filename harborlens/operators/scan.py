@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,7 +26,7 @@ def prefix_scan(
     and added back. One key may hold any share of the rows: no task sees more rows of it than one
     bucket, or one row per bucket. With ``low`` the running minimum of the sum is returned too, and
     as ``<low>_before`` the one up to the row before (null on the first row of a key).
-    Keys and bucket must not be null.
+    Null keys are a key, a null bucket comes first.
     """
     parts = [*keys, bucket]
     inside = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -43,7 +46,9 @@ def prefix_scan(
     if low:
         totals = totals.withColumn("_prior_low", F.min(F.col("_before") + F.col("_low")).over(earlier))
         kept.append("_prior_low")
-    joined = rows.join(totals.select(*kept), parts).withColumn(out, F.col("_before") + F.col("_inside"))
+    totals = totals.select(*[F.col(p).alias(f"_of_{p}") for p in parts], *kept[len(parts):])
+    same = reduce(and_, [F.col(p).eqNullSafe(F.col(f"_of_{p}")) for p in parts])
+    joined = rows.join(totals, same).drop(*[f"_of_{p}" for p in parts]).withColumn(out, F.col("_before") + F.col("_inside"))
     if low:
         joined = joined.withColumn(
             f"{low}_before", F.least("_prior_low", F.col("_before") + F.col("_inside_low_before"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from harborlens.functions.draws import hash_draw
 from harborlens.operators.dirty import Draw
+from harborlens.operators.scan import rank_within
 
 # Movement codes an offline location can not post.
 BLOCKED_CODES = ["101", "102", "601", "261", "311"]
@@ -115,21 +116,20 @@ def extra_demand(
 
     Each line is repeated pct / 100 times (the fraction by a draw). Quantities vary within
     ``spread``; emergency and shortage variants pass a shorter lead time or a wider spread. The
-    customer is drawn: customers fall into as many slots as there are of them, and an order whose
-    slot is empty keeps its own customer.
+    customer is drawn by number, each with the same chance; without customers an order keeps its own.
     """
     key = ["order_id", "item", "material", "plant"]
     draw = lambda tag: hash_draw(*key, "copy", seed=seed, tag=tag)
     whole, part = int(pct // 100), (pct % 100) / 100
     times = F.lit(whole) + F.when(hash_draw(*key, seed=seed, tag="extra") < part, 1).otherwise(0)
-    slots = customers.select(F.count(F.lit(1))).scalar()
-    slot = lambda c: F.pmod(F.xxhash64(c, F.lit(seed)), slots)
-    by_slot = customers.groupBy(slot(F.col("customer")).alias("_slot")).agg(F.min("customer").alias("_drawn"))
+    distinct = customers.select("customer").distinct()
+    by_slot = rank_within(distinct, [], "customer", "_no", width=65536).select((F.col("_no") - 1).alias("_slot"), F.col("customer").alias("_drawn"))
+    slots = distinct.select(F.count(F.lit(1))).scalar()
     copies = lines.where(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
     ordered = F.date_add(start, _between(F.lit(0), F.lit(30), draw("day")))
     due = F.date_add(ordered, _between(F.lit(lead_days[0]), F.lit(lead_days[1]), draw("lead")))
     qty = F.round(F.col("qty") * (F.lit(spread[0]) + F.lit(spread[1] - spread[0]) * draw("qty")))
-    made = copies.withColumn("_slot", F.pmod(F.xxhash64(*key, "copy", F.lit(seed)), slots))
+    made = copies.withColumn("_slot", F.floor(draw("customer") * slots).cast("long"))
     return made.join(by_slot, "_slot", "left").select(
         (first_id + F.pmod(F.xxhash64(*key, "copy"), F.lit(2**53))).alias("order_id"),
         F.coalesce("_drawn", "customer").alias("customer"), "material", "plant",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from harborlens.functions import text as fn
-from harborlens.functions.draws import key_draw
+from harborlens.functions.draws import draw_sql, hash_draw
 from harborlens.operators import corpus as ops
 from harborlens.operators import evaluate, vocab
 from harborlens.plans.registry import Tables, query
@@ -13,7 +13,9 @@ from harborlens.plans.registry import Tables, query
 WORDS = "list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 TOKENS = "len(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}\\s]'))"
 STOP_SQL = ", ".join(f"'{w}'" for w in fn.STOPWORDS)
-LABEL_STOP_SQL = ", ".join(f"'{w}'" for w in fn.LABEL_STOPWORDS)
+# Fixed values, as the operator's list, written out so that the check does not depend on it.
+LABEL_STOP_SQL = """'a', 'an', 'and', 'are', 'as', 'at', 'be', 'but', 'by', 'for', 'from', 'in', 'is', 'it', 'no', 'not', 'of', 'on',
+    'or', 'that', 'the', 'this', 'to', 'was', 'were', 'with'"""
 
 
 def docs(t: Tables):
@@ -582,12 +584,12 @@ def metric_cdf(t: Tables):
 @query(
     "random_baseline",
     f"""WITH {SPLIT_SQL}, {CORPUS_SQL}, train AS (SELECT slug, ROW_NUMBER() OVER (ORDER BY c.id) AS n FROM corpus c JOIN splits s ON s.id = c.id AND split = 'train'),
-    test AS (SELECT c.id, ((((c.id + 10) * 48271 % 2147483647) * 69621) % 2147483647) / 2147483647.0 AS draw FROM corpus c JOIN splits s ON s.id = c.id AND split <> 'train')
+    test AS (SELECT c.id, {draw_sql('c.id', seed=9)} AS draw FROM corpus c JOIN splits s ON s.id = c.id AND split <> 'train')
     SELECT id, slug AS prediction FROM test JOIN train ON n = CAST(FLOOR(draw * (SELECT COUNT(*) FROM train)) AS BIGINT) + 1""",
 )
 def random_baseline(t: Tables):
     parts = corpus(t).join(splits(t), "id")
-    return evaluate.random_baseline(parts.where("split = 'train'"), parts.where("split <> 'train'"), key_draw(F.col("id"), 9))
+    return evaluate.random_baseline(parts.where("split = 'train'"), parts.where("split <> 'train'"), hash_draw("id", seed=9))
 
 
 @query(

@@ -209,10 +209,10 @@ def shortfall(t: Tables):
 @query(
     "shortfall_ranking",
     f"""WITH {SHORTFALL_SQL} SELECT * FROM short ORDER BY CASE WHEN affected THEN 0 ELSE 1 END,
-    CASE WHEN shortfall > 0 THEN 0 ELSE 1 END, demand - stock DESC, material, plant LIMIT 200""",
+    CASE WHEN shortfall > 0 THEN 0 ELSE 1 END, demand - stock DESC, material, plant""",
 )
 def shortfall_ranking(t: Tables):
-    return shortfalls(t).orderBy(*ops.shortfall_order()).limit(200)
+    return shortfalls(t).orderBy(*ops.shortfall_order())
 
 
 @query(

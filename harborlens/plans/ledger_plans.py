@@ -117,18 +117,28 @@ def pnl_by_level(t: Tables):
     return ops.pnl_by(pnl_detail(t))
 
 
-MONTHS = [f"1997-{m:02d}" for m in range(1, 13)]
-
-
 @query(
     "monthly_pivot",
-    f"""WITH {LEDGER_SQL} SELECT plant, {", ".join(
-        f"SUM(CASE WHEN strftime(posted, '%Y-%m') = '{m}' THEN qty ELSE 0 END) AS " + f'"{m}"' for m in MONTHS)}
-    FROM ledger GROUP BY plant""",
+    f"""WITH {LEDGER_SQL}, {PRICE_SQL}, plan AS (SELECT plant, material, COALESCE(description, '') AS description,
+      strftime(posted, '%Y-%m') AS month, qty FROM ledger LEFT JOIN prices USING (material))
+    PIVOT plan ON month USING COALESCE(SUM(qty), 0) GROUP BY plant, material, description""",
 )
 def monthly_pivot(t: Tables):
-    plan = ledger(t).withColumn("month", F.date_format("posted", "yyyy-MM"))
-    return ops.monthly_pivot(plan, ["plant"], MONTHS)
+    """Every month of the data, by plant, material and description."""
+    plan = (
+        ledger(t).join(prices(t).select("material", "description"), "material", "left")
+        .withColumns({"description": F.coalesce("description", F.lit("")), "month": F.date_format("posted", "yyyy-MM")})
+    )
+    return ops.monthly_pivot(plan, ["plant", "material", "description"])
+
+
+@query(
+    "monthly_plan",
+    f"""WITH {LEDGER_SQL} SELECT plant, material, strftime(posted, '%Y-%m') AS month, SUM(qty) AS qty FROM ledger GROUP BY 1, 2, 3""",
+)
+def monthly_plan(t: Tables):
+    """The same as rows, the form for wide ranges of months."""
+    return ops.monthly_plan(ledger(t).withColumn("month", F.date_format("posted", "yyyy-MM")), ["plant", "material"])
 
 
 @query(

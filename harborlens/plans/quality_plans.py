@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from harborlens.functions.draws import key_draw
+from harborlens.functions import draws
 from harborlens.operators import dirty, quality
 from harborlens.plans.registry import Tables, query
 from harborlens.session import scratch_path
@@ -12,17 +12,13 @@ from harborlens.sources import datasets
 from harborlens.sources.tables import TableStore, align, write_parts
 
 
-def seed_of(tag: str) -> int:
-    return sum(ord(c) for c in tag)
+def plain_draw(*key: str, seed: int = 0):
+    """Draws on a key, one per tag."""
+    return lambda tag: draws.hash_draw(*key, seed=seed, tag=tag)
 
 
-def plain_draw(key: str):
-    """Draws by arithmetic on an integer key, which SQL can repeat."""
-    return lambda tag: key_draw(F.col(key), seed_of(tag))
-
-
-def draw_sql(key: str, tag: str) -> str:
-    return f"((((({key} % 2147483647 + {seed_of(tag) + 1}) * 48271) % 2147483647) * 69621) % 2147483647) / 2147483647.0"
+def draw_sql(key: str, tag: str, seed: int = 0) -> str:
+    return draws.draw_sql(key, seed=seed, tag=tag)
 
 
 # Sources
@@ -248,7 +244,7 @@ DIRTY_DAY_SQL = f"""CASE WHEN {draw_sql('o_orderkey', 'day')} < 0.2 THEN {pick_s
     "day[7:8] || '/' || day[5:6] || '/' || day[1:4]", "day[5:6] || '-' || day[7:8] || '-' || day[1:4]",
     "day[1:4] || '-' || day[5:6] || '-' || day[7:8]", "day[7:8] || '.' || day[5:6] || '.' || day[1:4]")} ELSE day END"""
 ORPHAN_SQL = f"""CASE WHEN {draw_sql('o_orderkey', 'customer orphan')} < 0.03 THEN 'ORPHAN_' || CASE WHEN length(CAST(o_orderkey AS VARCHAR)) > 6
-    THEN left(CAST(o_orderkey AS VARCHAR), 6) ELSE lpad(CAST(o_orderkey AS VARCHAR), 6, '0') END ELSE customer END"""
+    THEN CAST(o_orderkey AS VARCHAR) ELSE lpad(CAST(o_orderkey AS VARCHAR), 6, '0') END ELSE customer END"""
 NULL_SQL = f"CASE WHEN {draw_sql('o_orderkey', 'status null')} < 0.1 THEN NULL ELSE status END"
 
 
@@ -281,7 +277,24 @@ def inject_nulls(t: Tables):
     return dirty.inject_nulls(orders_text(t), ["status"], 0.1, plain_draw("o_orderkey"))
 
 
-@query("apply_dirty")
+DIRTY_SQL = (
+    lambda tag, rate, text: f"CASE WHEN {draw_sql('o_orderkey', tag, 42)} < {rate} THEN {text} END"
+)
+DIRTY_ALL_SQL = f"""WITH {ORDERS_TEXT_SQL}, changed AS (SELECT o_orderkey,
+      COALESCE({DIRTY_SQL('priority', 0.05, pick_sql(draw_sql('o_orderkey', 'priority variant', 42),
+        "'0' || priority", "' ' || priority", "priority || ' '", "lower(priority)", "ltrim(priority, '0')", "'  ' || priority || '  '"))}, priority) AS priority,
+      COALESCE({DIRTY_SQL('day', 0.05, pick_sql(draw_sql('o_orderkey', 'day variant', 42),
+        "day[7:8] || '/' || day[5:6] || '/' || day[1:4]", "day[5:6] || '-' || day[7:8] || '-' || day[1:4]",
+        "day[1:4] || '-' || day[5:6] || '-' || day[7:8]", "day[7:8] || '.' || day[5:6] || '.' || day[1:4]"))}, day) AS day,
+      COALESCE({DIRTY_SQL('customer orphan', 0.03, "'ORPHAN_' || CASE WHEN length(CAST(o_orderkey AS VARCHAR)) > 6 THEN CAST(o_orderkey AS VARCHAR) ELSE lpad(CAST(o_orderkey AS VARCHAR), 6, '0') END")}, customer) AS customer,
+      status FROM base),
+    repeated AS (SELECT * FROM changed UNION ALL SELECT * FROM changed WHERE {draw_sql('o_orderkey', 'duplicate', 42)} <= (
+      SELECT GREATEST(0.01, MIN({draw_sql('o_orderkey', 'duplicate', 42)})) FROM changed))
+    SELECT o_orderkey, priority, day, customer, CASE WHEN {draw_sql('o_orderkey', 'status null', 42)} < 0.02 THEN NULL ELSE status END AS status
+    FROM repeated"""
+
+
+@query("apply_dirty", DIRTY_ALL_SQL)
 def apply_dirty(t: Tables):
     config = {"keys": ["priority"], "dates": ["day"], "orphans": ["customer"], "duplicate_rate": 0.01, "nulls": ["status"]}
     return dirty.apply_dirty(orders_text(t), config, dirty.row_draw("o_orderkey", seed=42), F.col("o_orderkey"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from harborlens.functions import ledger as fn
 from harborlens.operators import ledger as ledger_ops
 from harborlens.operators import params, scenario
+from harborlens.functions import draws
 from harborlens.operators.dirty import row_draw
 from harborlens.plans.bind import LEDGER_SQL, STOCK_SQL, ledger, stock
 from harborlens.plans.impact_plans import heads, lines
@@ -195,7 +196,18 @@ def capacity_load(t: Tables):
     return scenario.capacity_load(production(t), PLANTS, 90, plain_draw("order_id"))
 
 
-@query("competing_orders")
+COMPETING_DRAW = lambda tag: draws.draw_sql("material", "week", seed=3, tag=tag)
+
+
+@query(
+    "competing_orders",
+    f"""WITH weeks AS (SELECT p_partkey AS material, CAST(week AS INTEGER) AS week FROM part, range(4) r(week)),
+    drawn AS (SELECT *, 2 + FLOOR({COMPETING_DRAW('n')} * 2) AS n, CAST(400 + FLOOR({COMPETING_DRAW('qty')} * 501) AS INTEGER) AS qty,
+      CAST(DATE '2000-01-03' + CAST(week * 7 + FLOOR({COMPETING_DRAW('day')} * 5) AS INTEGER) AS DATE) AS start,
+      CAST(5 + FLOOR({COMPETING_DRAW('end')} * 6) AS INTEGER) AS days FROM weeks)
+    SELECT 99 AS plant, material, week, CAST(number AS INTEGER) AS number, qty, start, CAST(start + days AS DATE) AS due
+    FROM drawn JOIN range(1, 4) k(number) ON number <= n""",
+)
 def competing_orders(t: Tables):
     products = t.part.selectExpr("p_partkey AS material")
     return scenario.competing_orders(products, 99, day("2000-01-03"), row_draw("material", "week", seed=3))

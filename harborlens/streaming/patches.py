@@ -81,12 +81,17 @@ def apply_patch(document: str, patch: str) -> str:
     return json.dumps(value, sort_keys=True)
 
 
-def stream_entity_patches(patches: DataFrame, idle_hours: float | None = None, max_bytes: int = 1_000_000) -> DataFrame:
+#: Rows that a fold hands on at a time; each carries the whole document.
+OUTPUT_ROWS = 256
+
+
+def stream_entity_patches(patches: DataFrame, idle_hours: float | None = None, max_bytes: int | None = None) -> DataFrame:
     """Apply the patches of each entity in order and publish every one with the new document.
 
     ``patches`` has entity_id, seq and patch (JSON text). A patch that can not be applied, or makes
     the document larger than ``max_bytes``, is published with its error and changes nothing.
-    A micro-batch of an entity is folded chunk by chunk, sorted within each chunk by ``seq``.
+    The patches of an entity in a micro-batch are folded in order of ``seq``, however many Arrow
+    chunks they come in: a task holds those of one entity, which the trigger's limits bound.
 
     With ``idle_hours`` the documents of entities idle that long are dropped, by processing time.
     Such a stream never runs out of timeouts to check, so it needs a periodic trigger: one that
@@ -100,13 +105,14 @@ def stream_entity_patches(patches: DataFrame, idle_hours: float | None = None, m
             state.remove()
             return
         version, document = state.get if state.exists else (0, "{}")
-        for chunk in chunks:
+        ordered = pd.concat([chunk[["seq", "patch"]] for chunk in chunks]).sort_values("seq", kind="stable")["patch"]
+        for start in range(0, len(ordered), OUTPUT_ROWS):
             out = []
-            for patch in chunk.sort_values("seq")["patch"]:
+            for patch in ordered[start:start + OUTPUT_ROWS]:
                 error = None
                 try:
                     changed = apply_patch(document, patch)
-                    if len(changed) > max_bytes:
+                    if max_bytes is not None and len(changed) > max_bytes:
                         raise ValueError("document too large")
                     document, version = changed, version + 1
                 except (ValueError, KeyError, IndexError, TypeError) as problem:

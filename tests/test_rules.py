@@ -251,7 +251,7 @@ def test_extract_slug(spark, url, slug):
 
 
 def test_scores(spark):
-    rows = [(1, "react-concurrent-suspense", "react-suspense-data-fetching", "s", 60), (2, "", "a-b", "s", 60), (3, "a-b-a", "a-a-b", "s", 700)]
+    rows = [(1, "river-quiet-harbor", "river-harbor-night-ferry", "s", 60), (2, "", "a-b", "s", 60), (3, "a-b-a", "a-a-b", "s", 700)]
     df = spark.createDataFrame(rows, "id BIGINT, prediction STRING, reference STRING, source STRING, token_count INT")
     got = {r.id: r for r in evaluate.score(df).collect()}
     assert (got[1].precision, got[1].recall, got[1].f1) == (2 / 3, 2 / 4, pytest.approx(4 / 7))
@@ -355,3 +355,58 @@ def test_bad_patches_keep_the_document(spark, tmp_path):
     assert sorted((r.entity_id, r.version, r.document, r.error is None) for r in got) == [
         ("a", 1, '{"v": 1}', False), ("a", 1, '{"v": 1}', True), ("a", 2, '{"v": 3}', True), ("b", 0, "{}", False),
     ]
+
+
+def test_draws_are_independent(spark):
+    from harborlens.functions.draws import hash_draw
+    from harborlens.operators import dirty
+
+    keys = spark.range(200_000).withColumns({"a": hash_draw("id", tag="x"), "b": hash_draw("id", tag="x variant")})
+    row = keys.agg(F.corr("a", "b").alias("r"), F.countDistinct("a").alias("n"), F.min("a").alias("low"), F.max("a").alias("high")).first()
+    assert abs(row.r) < 0.02 and row.n == 200_000 and 0 <= row.low and row.high < 1
+    draw = dirty.row_draw("id", seed=1)
+    rows = spark.range(20_000).select("id", F.lit("0Ab").alias("k"), F.lit("20240131").alias("d"))
+    made = dirty.dirty_dates(dirty.dirty_keys(rows, ["k"], 0.2, draw), ["d"], 0.2, draw)
+    assert made.select("k").distinct().count() == 7 and made.select("d").distinct().count() == 5
+
+
+def test_long_numbers_keep_their_digits(spark):
+    from harborlens.operators import dirty, ledger
+
+    rows = spark.range(1234560, 1234575).withColumn("k", F.lit("x"))
+    assert dirty.inject_orphans(rows, "k", F.col("id"), 1.1, dirty.row_draw("id")).select("k").distinct().count() == 15
+    items = spark.range(100_050).select(F.lit(1).alias("doc"), (F.col("id") % 97).alias("day"), "id")
+    assert ledger.line_numbers(items, "doc", ["day", "id"]).select("line_no").distinct().count() == 100_050
+
+
+def test_null_keys_stay(spark):
+    from harborlens.operators.scan import prefix_scan
+
+    rows = spark.createDataFrame([(None, 1, 5), (None, 2, 6), ("a", None, 7), ("a", 1, 8)], "k string, b int, v int")
+    got = {(r.k, r.b): r.running for r in prefix_scan(rows, ["k"], "b", ["v"], F.col("v")).collect()}
+    assert got == {(None, 1): 5, (None, 2): 11, ("a", None): 7, ("a", 1): 15}
+
+
+def test_labels_reject_all_listed_words(spark):
+    words = ["as", "be", "are", "was", "were", "this", "that", "from", "but", "not", "no"]
+    df = spark.createDataFrame([(f"quiet-{w}-harbor",) for w in words], "t string")
+    assert df.select(fn.clean_label(F.col("t")).alias("c")).where("c is not null").count() == 0
+
+
+def test_patches_in_order_across_chunks(spark, tmp_path):
+    from harborlens.streaming import patches
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        rows = spark.range(1500).select(
+            F.lit("e").alias("entity_id"), F.col("id").alias("seq"),
+            F.format_string('[{"op": "add", "path": "/v", "value": %d}]', "id").alias("patch"),
+        )
+        rows.repartition(7).write.parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        patches.run_to_end(patches.stream_entity_patches(stream), str(tmp_path / "out"), str(tmp_path / "check"))
+        last = spark.read.parquet(str(tmp_path / "out")).orderBy(F.desc("version")).first()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert last.version == 1500 and last.document == '{"v": 1499}'
