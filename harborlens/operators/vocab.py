@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from harborlens.operators.corpus import cluster_vectors
 from harborlens.operators.graph import connected_components
-from harborlens.operators.nearest import cosine_radius_graph
+from harborlens.operators.nearest import cosine_radius_graph, cosine_radius_links
 from harborlens.operators.scan import prefix_scan, salted_join
 from harborlens.session import cut_lineage
 
@@ -72,7 +72,7 @@ def compress_kmeans(tokens: DataFrame, k: int, seed: int = 42) -> DataFrame:
 
 def compress_graph(tokens: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Grouped by connected components of the cosine graph; lonely words are their own group."""
-    edges = cosine_radius_graph(tokens, "number", "vector", threshold).select(
+    edges = cosine_radius_links(tokens, "number", "vector", threshold).select(
         F.col("id").alias("src"), F.col("neighbor").alias("dst")
     )
     loops = tokens.select(F.col("number").alias("src"), F.col("number").alias("dst"))

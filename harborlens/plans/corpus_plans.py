@@ -372,7 +372,8 @@ def pack_batches(t: Tables):
 
 VOCAB_SQL = f"""{REFERENCE_SQL}, counts AS (SELECT token, COUNT(*) AS frequency FROM (SELECT unnest(string_split(slug, '-')) AS token FROM refs) GROUP BY 1),
     vocab AS (SELECT token, ROW_NUMBER() OVER (ORDER BY token) - 1 AS index FROM counts),
-    tokens AS (SELECT token, frequency, vec_id AS number, embedding AS vector, label FROM counts JOIN vocab USING (token) JOIN embeddings ON vec_id = index)"""
+    tokens AS (SELECT token, frequency, index AS number, embedding AS vector, label FROM counts JOIN vocab USING (token)
+      JOIN embeddings ON vec_id = index % (SELECT COUNT(*) FROM embeddings))"""
 
 
 def references(t: Tables):
@@ -390,11 +391,12 @@ def build_vocab(t: Tables):
 
 
 def tokens(t: Tables):
-    """Vocabulary words with a vector each: the n-th word takes the n-th embedding."""
+    """All vocabulary words with a vector each: the words take the embeddings in turn."""
     slugs = references(t)
     numbered = vocab.build_vocab(slugs).join(vocab.token_counts(slugs), "token")
-    return numbered.join(t.embeddings, F.col("index") == F.col("vec_id")).select(
-        "token", "frequency", F.col("vec_id").alias("number"), F.col("embedding").alias("vector"), "label"
+    vectors = t.embeddings.count()
+    return numbered.withColumn("_turn", F.col("index") % F.lit(vectors)).join(t.embeddings, F.col("_turn") == F.col("vec_id")).select(
+        "token", "frequency", F.col("index").alias("number"), F.col("embedding").alias("vector"), "label"
     )
 
 

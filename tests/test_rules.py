@@ -410,3 +410,14 @@ def test_patches_in_order_across_chunks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert last.version == 1500 and last.document == '{"v": 1499}'
+
+
+def test_radius_graph_has_all_copies(spark):
+    from harborlens.operators import nearest
+
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [1.0, 0.1]), (5, [0.0, 1.0]), (6, [0.0, 0.0]), (7, [0.0, 0.0]), (8, None)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    edges = {(r.id, r.neighbor) for r in nearest.cosine_radius_graph(df, "id", "v", 0.9).collect()}
+    assert edges == {(a, b) for a in (1, 2, 3) for b in (2, 3, 4) if a < b}
+    links = {(r.id, r.neighbor) for r in nearest.cosine_radius_links(df, "id", "v", 0.9).collect()}
+    assert links == {(1, 2), (1, 3), (1, 4)}
