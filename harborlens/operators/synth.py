@@ -110,18 +110,18 @@ def lane_modes(lanes: DataFrame) -> DataFrame:
     )
 
 
-def gen_lanes(plants: DataFrame, served: DataFrame | None = None, max_plants: int = 5000) -> DataFrame:
+def gen_lanes(plants: DataFrame, served: DataFrame | None = None) -> DataFrame:
     """Lanes (lane, origin, target and both ends' attributes) for every ordered pair of plants.
 
-    All pairs are only drawn up for at most ``max_plants`` plants (each plant meets the collected
-    list of ids); a larger network names the pairs in use as ``served`` (origin, target).
+    A large network names the pairs in use as ``served`` (origin, target); without them every plant
+    (by an integer id) is joined with the numbers of all.
     """
     if served is None:
-        rows = plants.select("plant").limit(max_plants + 1).collect()
-        if len(rows) > max_plants:
-            raise ValueError(f"more than {max_plants} plants: pass the served pairs")
-        everyone = F.array(*[F.lit(r.plant) for r in rows])
-        served = plants.select(F.col("plant").alias("origin"), F.explode(everyone).alias("target"))
+        numbered = _numbered(plants.select("plant").distinct(), "plant")
+        last = plants.select("plant").distinct().count() - 1
+        served = plants.where(F.lit(last >= 0)).select(
+            F.col("plant").alias("origin"), F.explode(F.sequence(F.lit(0), F.lit(max(0, last)))).cast("long").alias("_no")
+        ).join(numbered.withColumnRenamed("plant", "target"), "_no").drop("_no")
     start = plants.select(F.col("plant").alias("origin"), "lat", "lon", "country", "port")
     end = plants.select(F.col("plant").alias("target"), *[F.col(c).alias(f"to_{c}") for c in ("lat", "lon", "country", "port")])
     return (
@@ -144,16 +144,21 @@ def gen_routes(lanes: DataFrame) -> DataFrame:
     )
 
 
-def gen_shipments(deliveries: DataFrame, modes: DataFrame) -> DataFrame:
+def gen_shipments(deliveries: DataFrame, modes: DataFrame, domestic_km: float = 100.0) -> DataFrame:
     """One shipment per delivery and lane by the preferred mode, with its stages.
 
     Deliveries have delivery_no, origin, target, qty and issued_on; a delivery's items are summed.
+    Without a lane (within one country) the delivery goes by road, ``domestic_km`` far.
     """
+    speed, rate = geo.MODES["ROAD"]
     loads = deliveries.groupBy("delivery_no", "origin", "target").agg(
         F.sum("qty").alias("qty"), F.max("issued_on").alias("issued_on")
     )
     best = modes.where("preferred").select("origin", "target", "mode", "km", "hours", "cost")
-    shipped = loads.join(best, ["origin", "target"])
+    shipped = loads.join(best, ["origin", "target"], "left").withColumns({
+        "hours": F.coalesce("hours", F.lit(round(domestic_km / speed, 2))), "cost": F.coalesce("cost", F.lit(round(domestic_km * rate, 2))),
+        "mode": F.coalesce("mode", F.lit("ROAD")), "km": F.coalesce("km", F.lit(float(domestic_km))),
+    })
     stages = F.array(
         F.struct(F.lit(1).alias("stage"), F.lit("pick up").alias("step"), F.lit(0.0).alias("hours")),
         F.struct(F.lit(2).alias("stage"), F.lit("main leg").alias("step"), F.col("hours").alias("hours")),
