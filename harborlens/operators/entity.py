@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborlens.functions import json_path as jp
+from harborlens.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -175,13 +176,20 @@ class Statement:
 
 
 def _matched_ids(entities: DataFrame, statements: list[Statement]) -> DataFrame:
+    """Ids that match any statement. All clauses are judged in one scan, whose flags are written once."""
+    clauses = {
+        f"_{side}{i}": clause
+        for i, s in enumerate(statements) for side, clause in (("entity", s.entity), ("left", s.left), ("right", s.right)) if clause is not None
+    }
+    flags = entities.select("entity_id", "left_id", "right_id", *[F.coalesce(c, F.lit(False)).alias(n) for n, c in clauses.items()])
+    flags = cut_lineage(flags.where(any_of(*map(F.col, clauses))))
     found = None
-    for statement in statements:
-        rows = entities.where(statement.entity)
-        for column, clause in (("left_id", statement.left), ("right_id", statement.right)):
-            if clause is not None:
-                ends = entities.where(clause).select(F.col("entity_id").alias(column))
-                rows = rows.join(ends, column, "left_semi")
+    for i in range(len(statements)):
+        rows = flags.where(F.col(f"_entity{i}"))
+        for side in ("left", "right"):
+            if f"_{side}{i}" in clauses:
+                ends = flags.where(F.col(f"_{side}{i}")).select(F.col("entity_id").alias(f"{side}_id"))
+                rows = rows.join(ends, f"{side}_id", "left_semi")
         ids = rows.select("entity_id")
         found = ids if found is None else found.unionByName(ids)
     return found
