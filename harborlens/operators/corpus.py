@@ -1,11 +1,14 @@
 """Preparing a text corpus: quality filters, slugs, splits and batches.
 
-Filters look at whole texts and stay expressions over each row: no text is exploded or shuffled.
+Filters look at whole texts and stay work on each row: no text is exploded or shuffled.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -277,15 +280,25 @@ def union_test_ids(splits: list[DataFrame]) -> DataFrame:
     return ids.distinct()
 
 
+# Runs of letters and digits, and those of them that may stand in a slug.
+WORD_RUN = re.compile(r"[^\W_]+")
+PLAIN_WORD = re.compile("[a-z0-9]{3,}")
+
+
 def keyword_slugs(docs: DataFrame, words: int, by_letters: bool = False) -> DataFrame:
     """(id, slug): the most frequent plain words of a whole text, most frequent first.
 
-    With ``by_letters`` a word weighs its count times its length. Ties go by spelling.
+    With ``by_letters`` a word weighs its count times its length. Ties go by spelling. Words are
+    counted inside their row, so nothing is shuffled.
     """
-    found = docs.select("id", F.explode(fn.words_of(F.col("text"))).alias("w")).where(F.col("w").rlike("^[a-z0-9]{3,}$"))
-    weight = F.count(F.lit(1)) * (F.length("w") if by_letters else F.lit(1))
-    counted = found.groupBy("id", "w").agg(weight.alias("weight"))
-    best = Window.partitionBy("id").orderBy(F.desc("weight"), "w")
-    top = counted.withColumn("at", F.row_number().over(best)).where(F.col("at") <= words)
-    ordered = F.sort_array(F.collect_list(F.struct("at", "w")))
-    return top.groupBy("id").agg(F.array_join(F.transform(ordered, lambda x: x["w"]), "-").alias("slug"))
+
+    @F.pandas_udf("string")
+    def slug(texts: pd.Series) -> pd.Series:
+        def best(text: str | None) -> str | None:
+            counts = Counter(w for w in WORD_RUN.findall((text or "").lower()) if PLAIN_WORD.fullmatch(w))
+            weight = {w: n * len(w) if by_letters else n for w, n in counts.items()}
+            return "-".join(sorted(weight, key=lambda w: (-weight[w], w))[:words]) or None
+
+        return texts.map(best)
+
+    return docs.select("id", slug("text").alias("slug")).where("slug IS NOT NULL")
