@@ -17,7 +17,7 @@ GIVEN_NAMES = {
     ("f", "cyrillic"): "Анна Вера Галина Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна Юлия".split(),
     ("m", "cyrillic"): "Александр Андрей Владимир Дмитрий Иван Игорь Михаил Николай Олег Павел Сергей Юрий".split(),
 }
-TITLES = "Mr Mrs Ms Miss Herr Frau Monsieur Madame Señor Señora Господин Госпожа".split()
+TITLES = "Mr Mrs Ms Miss Dr Prof Sir Doctor Professor Herr Frau Monsieur Madame Señor Señora Господин Госпожа".split()
 SYLLABLES = {
     "latin": "ba bel cor dan del fen gar hal hol jen kar kel lan lor mal mer nor pal per quin ral ren sal ser tal tor van vel wen wil yar zan".split(),
     "cyrillic": "ба бел вар вин гор дан дол жар зан зор кал кор лав лен мар мир нар нов ор пал пен рад рол сав сол тар тул фан хор чер шал яр".split(),
@@ -29,17 +29,19 @@ _TITLE = "|".join(TITLES)
 #: mention starts where no letter or digit stands before it; possessive runs (++) never look twice.
 _LOCAL = r"[\w.%+\-\u00C0-\u024F\u0370-\u04FF]++"
 _LABEL = r"[A-Za-z0-9\-]++"
+_SURNAME = r"\p{Lu}\p{Ll}++(?:-\p{Lu}\p{Ll}++)*+(?!\p{L})"
 PATTERNS = {
     "email": rf"{_LOCAL}@(?:{_LABEL}\.)+[A-Za-z]{{2,}}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "card": r"\d{4}(?<sep>[ -]?)\d{4}\k<sep>\d{4}\k<sep>\d{4}(?!\d)",
     "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?:\+?\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]?\d{4}(?!\d)",
-    "secret": r"[0-9a-f]{32,128}+(?![0-9A-Za-z])",
-    "name": rf"(?:(?:{_TITLE})\.? (?:(?:{_GIVEN}) )?|(?:{_GIVEN}) )\p{{Lu}}\p{{Ll}}++(?!\p{{L}})",
+    "phone": r"(?:\+?\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}[ .-]\(?\d{1,4}\)?(?:[ .-]\d{2,4}){2,4}(?!\d)",
+    "secret": r"(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)(?![0-9A-Za-z])",
+    "name": rf"(?:(?:{_TITLE})\.? (?:(?:{_GIVEN}) )?|(?:{_GIVEN}) ){_SURNAME}",
 }
-_FIRST = {"ip": r"(?=\d)", "card": r"(?=\d)", "ssn": r"(?=\d)", "phone": r"(?=[+(\d])", "secret": "(?=[0-9a-f])", "name": r"(?=\p{Lu})"}
+_FIRST = {"ip": r"(?=\d)", "card": r"(?=\d)", "ssn": r"(?=\d)", "phone": r"(?=[+(\d])", "secret": "(?=[0-9a-fA-F])", "name": r"(?=\p{Lu})"}
 ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(_FIRST.get(k, "") + f"(?:{p})" for k, p in PATTERNS.items()) + ")"
+NAMES = r"(?<![\p{L}\p{N}])(?:" + PATTERNS["name"] + ")"
 #: More values with another surrogate than the first choice than this are looked up by a join.
 BROADCAST_VALUES = 100_000
 
@@ -184,6 +186,7 @@ def dressed(kind: Column, mention: Column, value: Column, key: str) -> Column:
     return (
         F.when(kind.isin("card", "ssn", "phone"), F.array_join(F.transform(places(mention), digit), ""))
         .when(kind == "name", F.array_join(F.concat(front, F.array(F.initcap(value))), " "))
+        .when((kind == "secret") & mention.rlike("[A-F]"), F.upper(value))
         .otherwise(F.array_join(F.transform(places(value), cased), ""))
     )
 
@@ -208,20 +211,31 @@ def attempts(found: DataFrame, key: str) -> DataFrame:
         state = cut_lineage(again.select("kind", "value", "attempt", fresh.alias("made")))
 
 
-def mentions(text: Column) -> Column:
+def pattern_of(text: Column) -> Column:
+    """What to look for in a text: all kinds, and the surnames of its own names where they stand alone."""
+    names = F.regexp_extract_all(text, F.lit(NAMES), F.lit(0))
+    surnames = F.array_distinct(F.transform(names, lambda m: F.element_at(_words(m), -1)))
+    # Longer ones first, so that no name is taken for the front of another. They are letters and hyphens only.
+    ordered = F.array_sort(surnames, lambda x, y: F.length(y) - F.length(x))
+    alone = F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(ordered, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    return F.when(F.size(surnames) > 0, alone).otherwise(F.lit(ANY))
+
+
+def mentions(text: Column, pattern: Column) -> Column:
     """(kind, mention, value) of every entity of a text, in order."""
     def entity(m: Column) -> Column:
-        kind = kind_of(m)
+        kind = F.coalesce(kind_of(m), F.lit("name"))  # a surname alone
         return F.struct(kind.alias("kind"), m.alias("mention"), canonical(kind, m).alias("value"))
 
-    return F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), entity)
+    return F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), entity)
 
 
 def replace_entities(docs: DataFrame, key: str = "harborlens", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Every row with its text rewritten, and ``entities``: array of (kind, surrogate) in order.
 
     E-mail and IP addresses, card, social security and phone numbers, hexadecimal secrets and
-    names are detected. A mention becomes the keyed surrogate of its entity, in its own
+    names are detected: a title or a listed given name before a surname, and that surname wherever
+    it stands alone in the same text. A mention becomes the keyed surrogate of its entity, in its own
     format. The same entity has one surrogate in all documents, different entities have different
     ones, and none is a value that some document holds: taken surrogates are settled over all
     distinct values first, and only the values that need another attempt are looked up.
@@ -229,8 +243,9 @@ def replace_entities(docs: DataFrame, key: str = "harborlens", id_column: str =
     A null text stays null and has no entities, an empty one stays empty. Rows with equal ids or
     texts are rewritten alike. An empty table stays empty. A column named entities is replaced.
     """
-    found_name, over, at, mark = hidden(docs, "_found", "_over", "_at", "_mark")
-    rows = docs.withColumn(found_name, F.coalesce(mentions(F.col(text_column)), F.array().cast("array<struct<kind: string, mention: string, value: string>>")))
+    found_name, over, at, mark, sought = hidden(docs, "_found", "_over", "_at", "_mark", "_sought")
+    rows = docs.withColumn(sought, pattern_of(F.col(text_column)))
+    rows = rows.withColumn(found_name, F.coalesce(mentions(F.col(text_column), F.col(sought)), F.array().cast("array<struct<kind: string, mention: string, value: string>>")))
     each = cut_lineage(
         rows.select(id_order(id_column).alias("i_"), F.xxhash64(text_column).alias("m_"), F.explode(found_name).alias("e"))
         .select("i_", "m_", "e.kind", "e.value").distinct()
@@ -253,8 +268,8 @@ def replace_entities(docs: DataFrame, key: str = "harborlens", id_column: str =
 
     entities = F.transform(found_name, replaced)
     kept = [c for c in docs.columns if c.lower() != "entities"]
-    rows = rows.select(*kept, entities.alias(at))
-    gaps = F.split(F.col(text_column), ANY, -1)
+    rows = rows.select(*kept, sought, entities.alias(at))
+    gaps = F.split(F.col(text_column), F.col(sought), -1)
     new = F.array_join(F.transform(gaps, lambda gap, i: F.concat(gap, F.coalesce(F.get(F.col(at), i)["surrogate"], F.lit("")))), "")
     text = F.when(F.size(at) > 0, new).otherwise(F.col(text_column))
     return rows.select(*[text.alias(c) if c == text_column else F.col(c) for c in kept], F.col(at).alias("entities"))

@@ -100,6 +100,21 @@ def test_surrogates(spark):
     assert one.text.startswith("Write ") and one.text.endswith(card + ".")
 
 
+def test_surrogates_of_later_mentions_and_other_formats(spark):
+    data = [
+        (1, "John Smith called. Later Smith, and Smith's lawyer, met Smithson; Dr. Brown-Miller left, Brown-Miller paid."),
+        (2, "call +44 20 7946 0958 or +33 1 23 45 67 89, key 04DBEBAB91AB85687D33EEAAF9AC699E1188F962 now"), (3, "Smith stays where no name is known"),
+    ]
+    rows = {r.doc_id: r for r in surrogate.replace_entities(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    one, two = rows[1], rows[2]
+    smith, brown = one.entities[0].surrogate.split()[-1], one.entities[3].surrogate.split()[-1]
+    assert [e.surrogate for e in one.entities][1:3] == [smith, smith] and one.entities[4].surrogate == brown
+    assert not re.search(r"Smith\b|Brown|Miller", one.text) and "Smithson" in one.text and f"{smith}'s lawyer" in one.text
+    assert [e.kind for e in two.entities] == ["phone", "phone", "secret"]
+    assert re.fullmatch(r"call \+4\d \d\d \d{4} \d{4} or \+3\d \d \d\d \d\d \d\d \d\d, key [0-9A-F]{40} now", two.text) and "7946" not in two.text
+    assert rows[3].text == data[2][1]
+
+
 def test_surrogates_stay_distinct(spark):
     # 900 of 1,000 possible octet pairs of a private range would collide at the first choice.
     data = [(i, f"10.0.{i % 50}.{i // 50} 10.0.{i % 50}.{i // 50}") for i in range(600)] + [(i, f"ab{i}@x.com") for i in range(600)]
