@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborlens.llm import decontam, fingerprint, mixing, passages, sharding, simhash, suffix, surrogate, toxicity, warc
+from harborlens.llm import (
+    decontam, fingerprint, lexical, mixing, packing, passages, sharding, simhash, spelling, suffix, surrogate, toxicity, warc,
+)
 from harborlens.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +91,18 @@ def op1_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_pii_surrogates")
 def op5_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     return surrogate.replace_entities(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op11_lexical_search", lexical.SEARCH_SQL)
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=20)
+
+
+@query("op12_pack_sequences")
+def op12_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op13_spelling_variants", spelling.VARIANTS_SQL)
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents").select("doc_id", "text"))
