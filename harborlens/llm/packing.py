@@ -3,33 +3,33 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from harborlens.llm.common import bounded_batches
+from harborlens.llm.common import bounded_batches, slices
 from harborlens.session import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 CAPACITY = 1024
-#: A token never spans from a character that is not white space to white space, so texts are cut there.
-_CHUNK = re.compile(r"\s*\S+|\s+")
-#: White space for Python's patterns, but not for the tokenizer's: such texts are encoded whole.
-_DOUBTFUL = re.compile("[\x1c-\x1f]")
-#: Distinct chunks whose ids a worker remembers, and chunks of one text that are looked at together.
-REMEMBERED, TOGETHER = 1_000_000, 1 << 18
+#: A token never spans from a character that is not white space to white space. Texts are cut at such places
+#: (those between common characters; a place that is not cut changes nothing but the work).
+_CUT = r"([!-~\x{00A1}-\x{167F}])([ \n\t\r])"
+_MARK = "\x00"
+#: Distinct chunks whose ids a worker remembers, and bytes of text that are encoded together.
+REMEMBERED, TOGETHER = 1_000_000, 1 << 20
 
 
 class Encoder:
@@ -52,40 +52,42 @@ class Encoder:
 
     def forget(self) -> None:
         self.codes: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.first = np.zeros(REMEMBERED + TOGETHER + 1, np.int64)
-
-    def learn(self, chunks: list[str]) -> None:
-        new = list(dict.fromkeys(c for c in chunks if c not in self.codes))
-        if not new:
-            return
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        n = len(self.codes)
-        ends = self.first[n] + np.cumsum([len(x) for x in found])
-        self.first[n + 1:n + 1 + len(new)] = ends
-        if ends[-1] > len(self.ids):
-            self.ids = np.r_[self.ids, np.zeros(2 * int(ends[-1]) - len(self.ids), np.uint32)]
-        self.ids[self.first[n]:ends[-1]] = np.fromiter((i for x in found for i in x), np.uint32, int(ends[-1] - self.first[n]))
-        self.codes.update(zip(new, range(n, n + len(new))))
-
-    def encode(self, text: str) -> np.ndarray:
-        if _DOUBTFUL.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        parts = [np.zeros(0, np.uint32)]
-        chunks = (m.group() for m in _CHUNK.finditer(text)) if len(text) > 4 * TOGETHER else iter(_CHUNK.findall(text))
-        while some := list(islice(chunks, TOGETHER)):
-            if len(self.codes) > REMEMBERED:
-                self.forget()
-            try:
-                codes = np.fromiter(map(self.codes.__getitem__, some), np.int64, len(some))
-            except KeyError:
-                self.learn(some)
-                codes = np.fromiter(map(self.codes.__getitem__, some), np.int64, len(some))
-            start = self.first[codes]
-            size = self.first[codes + 1] - start
-            shift = np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size)
-            parts.append(self.ids[shift + np.arange(len(shift))])
-        return np.concatenate(parts)
+        self.ids = np.zeros(0, np.uint32)
+        self.ends = np.zeros(1, np.int64)
+
+    def numbers(self, chunks: list[str]) -> np.ndarray:
+        """The chunks' numbers; those not seen before are tokenised."""
+        if len(self.codes) > REMEMBERED:
+            self.forget()
+        found = np.fromiter(map(self.codes.get, chunks, repeat(-1)), np.int64, len(chunks))
+        at = np.flatnonzero(found < 0)
+        if len(at):
+            new = [chunks[i] for i in at.tolist()]
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(list(map(len, ids)))]
+            self.ids = np.r_[self.ids, np.array(list(chain.from_iterable(ids)), np.uint32)]
+            found[at] = np.arange(len(self.codes), len(self.codes) + len(new))
+            self.codes.update(zip(new, found[at].tolist()))
+        return found
+
+    def encode(self, texts: pa.StringArray) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        for a, b in slices(len(texts), sizes, TOGETHER):
+            some = texts.slice(a, b - a)
+            chunks = pc.split_pattern(pc.replace_substring_regex(some, _CUT, f"\\1{_MARK}\\2"), _MARK)
+            own = chunks.flatten().dictionary_encode()
+            codes = self.numbers(own.dictionary.to_pylist())[own.indices.to_numpy()]
+            size = self.ends[codes + 1] - self.ends[codes]
+            ends = np.cumsum(size)
+            ids = self.ids[np.repeat((self.ends[codes] - (ends - size)).astype(np.int32), size) + np.arange(size.sum(), dtype=np.int32)]
+            bounds = np.r_[0, ends][np.r_[0, np.cumsum(pc.list_value_length(chunks).to_numpy(zero_copy_only=False))]]
+            marked = pc.match_substring(some, _MARK).to_pylist()
+            for i, (low, high) in enumerate(zip(bounds, bounds[1:])):
+                if marked[i]:  # the text has the mark itself
+                    yield np.array(self.tokenizer.encode(some[i].as_py(), add_special_tokens=False).ids, np.uint32)
+                else:
+                    yield ids[low:high]
 
 
 @lru_cache(maxsize=1)
@@ -119,8 +121,8 @@ def tokenise(
         part, encode, seen = TaskContext.get().partitionId(), encoder(tokenizer).encode, defaultdict(int)
         for batch in batches:
             owner, columns = [], defaultdict(list)
-            for row, text in enumerate(batch.column(1)):
-                ids = np.append(encode(text.as_py()), np.uint32(end_id)).astype("<u4")
+            for row, ids in enumerate(encode(batch.column(1))):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for piece, (start, length) in enumerate(cut(len(ids), capacity)):
                     own = ids[start:start + length]
                     owner.append(row)
@@ -148,88 +150,74 @@ class Line:
     runs: tuple[tuple[int, int], ...]
 
 
-class Sums:
-    """Which pairs of available lengths have a given sum: an index that only ever loses entries."""
-
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
-        self.lengths = np.flatnonzero(counts)[::-1].tolist()
-        self.pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        present = counts > 0
-        for a in self.lengths:
-            b = np.flatnonzero(present[:min(a, len(counts) - 1 - a) + 1]) if a < len(counts) else []
-            for x in b.tolist():
-                self.pairs[a + x].append((a, x))  # larger lengths first
-
-    def fits(self, combination: Sequence[int], base: int) -> int:
-        """How often ``base`` and the combination are there together."""
-        wanted = [base, *combination]
-        return min(int(self.counts[x]) // wanted.count(x) for x in set(wanted))
-
-    def pair(self, total: int, *base: int) -> tuple[int, int] | None:
-        live = [p for p in self.pairs.get(total, ()) if self.counts[p[0]] and self.counts[p[1]]]
-        if total in self.pairs:
-            self.pairs[total] = live
-        return next((p for p in live if self.fits([*base[1:], *p], base[0])), None)
-
-    def complement(self, base: int, gap: int) -> tuple[int, ...] | None:
-        """One, two or three lengths that fill the gap beside ``base``, larger ones first."""
-        if self.fits([gap], base):
-            return (gap,)
-        if found := self.pair(gap, base):
+class Lengths:
+    """Available pieces by length, with an index from sums to the pairs that have them.
+
+    The pairs of a sum are listed once, when it is first asked for, and lose entries as lengths run out.
+    """
+
+    def __init__(self, histogram: dict[int, int], capacity: int):
+        self.counts = np.zeros(capacity + 1, np.int64)
+        self.counts[list(histogram)] = list(histogram.values())
+        self.pairs: dict[int, list[tuple[int, int]]] = {}
+
+    def together(self, lengths: Sequence[int]) -> int:
+        """How often these lengths are there together."""
+        return min(int(self.counts[x]) // lengths.count(x) for x in set(lengths))
+
+    def fitting(self, line: list[int], gap: int) -> Iterator[int]:
+        """Lengths still there beside ``line`` that fit the gap, largest first."""
+        return (x for x in np.flatnonzero(self.counts[:gap + 1])[::-1].tolist() if self.counts[x] > line.count(x))
+
+    def pair(self, line: list[int], total: int, least: int, most: int) -> tuple[int, int] | None:
+        """The pair of this sum with the largest first member from ``least`` to ``most``."""
+        known = self.pairs.get(total)
+        if known is None:
+            known = [(a, total - a) for a in range(min(total, len(self.counts)) - 1, (total - 1) // 2, -1)]
+        self.pairs[total] = known = [p for p in known if self.counts[p[0]] and self.counts[p[1]]]
+        return next((p for p in known if least <= p[0] <= most and self.together([*line, *p])), None)
+
+    def complement(self, line: list[int], gap: int, reach: int) -> tuple[int, ...]:
+        """One, two or three lengths that fill the gap exactly, else the largest that fits it (or none).
+
+        The largest member must come within ``reach`` of the largest length that fits: filling gaps
+        with small pieces alone would leave the larger ones without company.
+        """
+        fitting = self.fitting(line, gap)
+        largest = next(fitting, 0)
+        if largest in (0, gap):
+            return (largest,) if largest else ()
+        least = largest - reach
+        if found := self.pair(line, gap, least, largest):
             return found
-        self.lengths = [x for x in self.lengths if self.counts[x]]
-        for a in self.lengths:
-            if a < gap and self.fits([a], base) and (found := self.pair(gap - a, base, a)):
+        for a in chain([largest], fitting):
+            if a < max(least, -(-gap // 3)):
+                break
+            if found := self.pair([*line, a], gap - a, 1, a):
                 return (a, *found)
-        return None
+        return (largest,)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Line]:
     """Which lengths share sequences, from the number of pieces of each length alone.
 
-    Longest first, each length looks up its gap among the available lengths, pair sums and triple
-    sums; a combination is consumed as often as all its members last. What has no exact complement
-    goes, longest first, to the sequences with the smallest gap that takes it, or to new ones. Every
-    step uses up a length or a group of like sequences, so the plan grows with ``capacity``, not
-    with the number of pieces.
+    Longest first, each length opens a sequence and looks up the gap among the available lengths, pair
+    sums and triple sums. Where no combination fills it exactly, the largest length that fits goes in (the
+    best fit) and the rest of the gap is looked up again. A sequence is made as often as all its
+    members last. Each line so uses up a length, or leaves fewer of it than the line has: the plan grows
+    with ``capacity``, not with the pieces.
     """
-    counts = np.zeros(capacity + 1, np.int64)
-    for length, n in histogram.items():
-        counts[length] = n
-    lines = []
-    if counts[capacity]:
-        lines.append(Line(int(counts[capacity]), ((capacity, 1),)))
-        counts[capacity] = 0
-    sums = Sums(counts)
-    for base in range(capacity - 1, 0, -1):
-        while counts[base] and (others := sums.complement(base, capacity - base)):
-            copies = sums.fits(others, base)
-            lines.append(Line(copies, runs([base, *others])))
-            for x in (base, *others):
-                counts[x] -= copies
-    return lines + best_fit(counts, capacity)
-
-
-def runs(lengths: Sequence[int]) -> tuple[tuple[int, int], ...]:
-    return tuple((x, list(lengths).count(x)) for x in dict.fromkeys(lengths))
-
-
-def best_fit(counts: np.ndarray, capacity: int) -> list[Line]:
-    """Best fit, longest first, over groups of like sequences."""
-    groups: dict[int, list[Line]] = defaultdict(list)  # by gap
-    for length in np.flatnonzero(counts)[::-1].tolist():
-        left = int(counts[length])
-        while left:
-            gap = next((g for g in range(length, capacity) if groups.get(g)), capacity)
-            group = groups[gap].pop() if gap < capacity else Line(left, ())
-            many = min(gap // length, left)
-            full = min(group.copies, left // many)
-            if gap < capacity and group.copies > full:
-                groups[gap].append(Line(group.copies - full, group.runs))
-            groups[gap - many * length].append(Line(full, (*group.runs, (length, many))))
-            left -= full * many
-    return [line for gap in sorted(groups) for line in groups[gap]]
+    lengths, lines = Lengths(histogram, capacity), []
+    for base in range(capacity, 0, -1):
+        while lengths.counts[base]:
+            line = [base]
+            while (gap := capacity - sum(line)) and (more := lengths.complement(line, gap, capacity // 64)):
+                line += more
+            copies = lengths.together(line)
+            lines.append(Line(copies, tuple((x, line.count(x)) for x in dict.fromkeys(line))))
+            for x in line:
+                lengths.counts[x] -= copies
+    return lines
 
 
 def slots(lines: Sequence[Line]) -> dict[int, np.ndarray]:

@@ -83,11 +83,11 @@ def test_trees_prune_and_bounds_hold():
     draw = np.random.default_rng(4)
     n, size = 1500, 400
     owner = np.repeat(np.arange(n), 12)
-    term = np.concatenate([draw.choice(size, 12, replace=False) for _ in range(n)])
+    term = np.concatenate([40 * draw.integers(0, 10) + draw.choice(40, 12, replace=False) for _ in range(n)])  # ten subjects
     tfs = draw.integers(1, 5, len(owner))
     weights = np.sort(draw.integers(100, 9000, size))
     docs = lexical.Documents(np.arange(n), np.full(n, 100), owner, term, tfs, weights)
-    items = [{int(t): int(weights[t]) for t in draw.choice(size, 10, replace=False)} for _ in range(40)]
+    items = [{int(t): int(weights[t]) for t in 40 * draw.integers(0, 10) + draw.choice(40, 10, replace=False)} for _ in range(40)]
     tree = lexical.item_tree(items)
     for node in [tree, *tree.below]:
         at, w = docs.local(node)
