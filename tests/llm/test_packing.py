@@ -4,7 +4,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
-import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -19,23 +18,21 @@ def tokenizer():
 
 def test_encoder_equals_the_tokenizer(tokenizer):
     encoder = packing.Encoder()
+    assert encoder.quick is not None
     draw = random.Random(1)
-    texts = ["", " ", "  a  b ", "a\n\n  b\t c", "foo<|endoftext|> bar <|endoftext|>", "x\x1cy z", "a\x85b 　c  d", "don't  we'll\r\n\r\n x   "]
-    texts += ["".join(draw.choices(" \n\taé'sl7.<|名​\x1f\U0001f600", k=60)) for _ in range(300)]
-    texts += ["a\x00b c", "\x00"]
-    for text, ids in zip(texts, encoder.encode(pa.array(texts)), strict=True):
-        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
-    assert list(encoder.encode(pa.array([], pa.string()))) == []
-
-
-def test_encoder_forgets(tokenizer, monkeypatch):
-    monkeypatch.setattr(packing, "REMEMBERED", 10)
-    monkeypatch.setattr(packing, "TOGETHER", 50)
-    encoder = packing.Encoder()
-    texts = [" ".join(f"w{(7 * i + k) % 40}" for i in range(9)) for k in range(30)]
-    for text, ids in zip(texts, encoder.encode(pa.array(texts)), strict=True):
-        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
-    assert len(encoder.codes) <= 30
+    texts = ["", " ", "  a  b ", "a\n\n  b\t c", "foo<|endoftext|> bar <|endoftext|>", "x\x1cy z", "a\x85b\u3000　 c\u00a0 d", "don't  we'll\r\n\r\n x   "]
+    texts += ["".join(draw.choices(" \n\taé'sl7.<|名\u200b\x1f\U0001f600", k=60)) for _ in range(300)]
+    texts += ["".join(draw.choices(" \n\taé'tßſÀ·²½7.,-—…“<|\x1f\x85\u00a0", k=60)) for _ in range(1000)]
+    texts += ["".join(map(chr, range(0x250))), " ".join(map(chr, range(0x250))), " " * 100_000 + "a", "ab" * 50_000]
+    for text in texts:
+        assert encoder.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_other_files_go_the_slow_way():
+    encoder = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert encoder.quick is None
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert encoder.encode("Some Words, here").tolist() == plain.encode("Some Words, here", add_special_tokens=False).ids
 
 
 def test_cut():
