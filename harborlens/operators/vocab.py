@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harborlens.operators.community import communities
 from harborlens.operators.corpus import cluster_vectors
 from harborlens.operators.graph import connected_components
-from harborlens.operators.nearest import cosine_radius_graph, cosine_radius_links
+from harborlens.operators.nearest import cosine_radius_links, distinct_edges
 from harborlens.operators.scan import prefix_scan, salted_join
 from harborlens.session import cut_lineage
 
@@ -81,34 +82,22 @@ def compress_graph(tokens: DataFrame, threshold: float = 0.85) -> DataFrame:
     return representatives(tokens.join(named, "number"))
 
 
-def compress_communities(tokens: DataFrame, threshold: float = 0.85, rounds: int = 30) -> DataFrame:
-    """Grouped by label propagation on the cosine graph.
+def compress_communities(tokens: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """Grouped by modularity communities of the cosine graph; lonely words are their own group.
 
-    A word takes the label with the largest summed similarity around it (its own label has half a
-    vote; ties: smallest label). Half the words, drawn anew by hash, move per round, so neighbours
-    do not swap labels for ever. Communities differ from those of modularity methods, but like them
-    they split loosely connected components.
+    Words with equal vectors are one node from the start, with the links of all of them: a crowd of
+    copies costs one row and not all its pairs.
     """
-    edges = cosine_radius_graph(tokens, "number", "vector", threshold)
-    both = edges.selectExpr("id AS src", "neighbor AS dst", "similarity").unionByName(
-        edges.selectExpr("neighbor AS src", "id AS dst", "similarity")
+    members, edges = distinct_edges(tokens, "number", "vector", threshold)
+    members = cut_lineage(members.withColumn("node", F.when(F.col("alike"), F.col("first")).otherwise(F.col("id"))))
+    sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    end = lambda name: sizes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"))
+    between = edges.select(F.col("id").alias("src"), F.col("neighbor").alias("dst")).join(end("src"), "src").join(end("dst"), "dst")
+    links = between.select("src", "dst", (F.col("n_src") * F.col("n_dst")).alias("weight")).unionByName(
+        sizes.where("n > 1").select(F.col("node").alias("src"), F.col("node").alias("dst"), F.expr("n * (n - 1) DIV 2").alias("weight"))
     )
-    own = tokens.selectExpr("number AS src", "number AS dst", "0.5D AS similarity")
-    links = cut_lineage(both.unionByName(own))
-    labels = cut_lineage(tokens.select("number", F.col("number").alias("label")))
-    for turn in range(rounds):
-        votes = (
-            salted_join(links, labels.withColumnRenamed("number", "dst"), ["dst"])
-            .groupBy(F.col("src").alias("number"), "label").agg(F.sum("similarity").alias("weight"))
-        )
-        ranked = F.struct(F.round(F.col("weight"), 6), -F.col("label"))
-        best = votes.groupBy("number").agg(F.max_by("label", ranked).alias("best"))
-        moves = F.pmod(F.xxhash64("number", F.lit(turn)), F.lit(2)) == 0
-        voted = cut_lineage(labels.join(best, "number"))
-        if voted.where("best <> label").isEmpty():
-            break
-        labels = voted.select("number", F.when(moves, F.col("best")).otherwise(F.col("label")).alias("label"))
-    return representatives(tokens.join(labels.withColumnRenamed("label", "cluster"), "number"))
+    found = salted_join(members.select("id", "node"), communities(sizes.select("node"), links), ["node"])
+    return representatives(tokens.join(found.select(F.col("id").alias("number"), F.col("community").alias("cluster")), "number"))
 
 
 class Grouping:

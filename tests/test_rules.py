@@ -153,15 +153,15 @@ def test_cosine_topk_is_exact(spark, block_rows):
         assert [got[i][n + 1] for n in range(4)] == [(j, pytest.approx(-s, abs=1e-8)) for s, j in best]
 
 
-def test_radius_graph_links_copies_once(spark):
+def test_radius_graph_and_links(spark):
     rows, df = vectors(spark, True)
     table = cosine_table(rows)
-    edges = {(r.id, r.neighbor) for r in nearest.cosine_radius_graph(df, "id", "v", 0.5, 16).collect()}
     plain = {(i, j) for a, (i, _) in enumerate(rows) for b, (j, _) in enumerate(rows) if i < j and table[a, b] >= 0.5}
-    first = lambda i: 0 if 200 <= i < 300 else i
-    assert {e for e in edges if e[1] < 200} == {e for e in plain if e[1] < 200}
-    assert {e for e in edges if 200 <= e[1] < 300} == {(0, 200 + i) for i in range(60)}
-    assert {(first(i), first(j)) for i, j in plain if first(i) != first(j)} <= {e for e in edges if e[1] < 200} | {e[::-1] for e in edges}
+    edges = [(r.id, r.neighbor) for r in nearest.cosine_radius_graph(df, "id", "v", 0.5, 16).collect()]
+    assert len(edges) == len(set(edges)) and set(edges) == plain
+    links = {(r.id, r.neighbor) for r in nearest.cosine_radius_links(df, "id", "v", 0.5, 16).collect()}
+    assert {e for e in links if e[1] < 200} == {e for e in plain if e[1] < 200}
+    assert {e for e in links if 200 <= e[1] < 300} == {(0, 200 + i) for i in range(60)}
 
 
 # Graphs
