@@ -280,9 +280,8 @@ def union_test_ids(splits: list[DataFrame]) -> DataFrame:
     return ids.distinct()
 
 
-# Runs of letters and digits, and those of them that may stand in a slug.
+# Runs of letters and digits; those of three or more ASCII ones may stand in a slug.
 WORD_RUN = re.compile(r"[^\W_]+")
-PLAIN_WORD = re.compile("[a-z0-9]{3,}")
 
 
 def keyword_slugs(docs: DataFrame, words: int, by_letters: bool = False) -> DataFrame:
@@ -295,8 +294,9 @@ def keyword_slugs(docs: DataFrame, words: int, by_letters: bool = False) -> Data
     @F.pandas_udf("string")
     def slug(texts: pd.Series) -> pd.Series:
         def best(text: str | None) -> str | None:
-            counts = Counter(w for w in WORD_RUN.findall((text or "").lower()) if PLAIN_WORD.fullmatch(w))
-            weight = {w: n * len(w) if by_letters else n for w, n in counts.items()}
+            counts = Counter(WORD_RUN.findall((text or "").lower()))
+            # A lower-cased run of ASCII letters and digits; looked at once per distinct word.
+            weight = {w: n * len(w) if by_letters else n for w, n in counts.items() if len(w) > 2 and w.isascii()}
             return "-".join(sorted(weight, key=lambda w: (-weight[w], w))[:words]) or None
 
         return texts.map(best)
