@@ -34,6 +34,26 @@ def stream_metrics(t: Tables):
     return rows.withColumn("step_start", F.col("step_start").cast("timestamp_ntz"))
 
 
+@query(
+    "stream_appended_metrics",
+    """SELECT date_trunc('day', ts) AS step_start, CAST(COUNT(*) AS DOUBLE) AS agents, CAST(COUNT(*) FILTER (event_type = 'click') AS DOUBLE) AS clicks,
+    MAX(value) AS max_value, CAST(SUM(user_id) AS DOUBLE) AS users FROM events GROUP BY 1""",
+)
+def stream_appended_metrics(t: Tables):
+    """Events arrive in three spans of time; each run sees the new files only and appends the steps that are over."""
+    path, waves = scratch_path(t.spark, "stream-appended"), 3
+    events = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.unix_seconds(F.min("ts")), F.unix_seconds(F.max("ts"))).first()
+    wave = F.least(F.floor((F.unix_seconds("ts") - F.lit(first)) * waves / F.lit(last - first + 1)), F.lit(waves - 1))
+    for n in range(waves):
+        events.where(wave == n).write.mode("append").parquet(f"{path}/events")
+        stream = metrics.stream_metrics(metrics.read_events(t.spark, f"{path}/events"), OUTPUTS)
+        metrics.append_final(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    final = t.spark.read.parquet(f"{path}/out").select("step_start", *OUTPUTS)
+    rows = metrics.steps_so_far(t.spark.read.parquet(f"{path}/events"), final, OUTPUTS)
+    return rows.withColumn("step_start", F.col("step_start").cast("timestamp_ntz"))
+
+
 def patch_stream(t: Tables):
     body = """CONCAT('[{"op": "add", "path": "/', event_type, '", "value": ', value, '}]')"""
     return event_stream(t).selectExpr("CAST(user_id AS STRING) AS entity_id", "event_id AS seq", f"{body} AS patch")

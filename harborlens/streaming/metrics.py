@@ -51,6 +51,36 @@ def write_updates(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
     )
 
 
+def append_final(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append every step once, when the watermark has passed its end, until the input is used up.
+
+    The open steps are the query's state and go on in the next run with the same checkpoint, which reads
+    new files only. A row of a step that the watermark of the batch before had passed already is late and
+    left out. A batch that is repeated after a failure overwrites its own folder.
+    """
+
+    def save(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return (
+        stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+        .foreachBatch(save).trigger(availableNow=True).start()
+    )
+
+
+def steps_so_far(
+    events: DataFrame, final: DataFrame, outputs: dict[str, list[dict]], time: str = "ts", step: str = "1 day",
+) -> DataFrame:
+    """The appended steps and, behind them, the open ones as the events say now.
+
+    Only events from the end of the last appended step on are evaluated; the bound is one value that
+    reaches the scan.
+    """
+    last = final.agg(F.max(F.col("step_start") + F.expr(f"INTERVAL {step}"))).first()[0]
+    unseen = events if last is None else events.where(F.col(time) >= F.lit(last))
+    return final.unionByName(stream_metrics(unseen, outputs, time, step))
+
+
 def latest_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """The newest row per key among the written batches."""
     rows = spark.read.option("basePath", path).parquet(path)
