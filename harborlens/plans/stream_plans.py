@@ -76,6 +76,20 @@ def stream_entity_patches(t: Tables):
     return final.select("entity_id", F.col("r.version").alias("version"), pick("click"), pick("purchase"))
 
 
+@query(
+    "fold_patches",
+    """SELECT CAST(user_id AS VARCHAR) AS entity_id, COUNT(*) AS version, arg_max(value, event_id) FILTER (event_type = 'click') AS click,
+    arg_max(value, event_id) FILTER (event_type = 'purchase') AS purchase FROM events GROUP BY 1""",
+)
+def fold_patches(t: Tables):
+    """The same documents by a sorted pass, read from the change log."""
+    path = scratch_path(t.spark, "stream-folded")
+    patches.fold_patches(patch_stream(t), path, f"{path}/checkpoint").awaitTermination()
+    rows = patches.ChangeLog(f"{path}/documents", ["entity_id"], "version").read(t.spark)
+    pick = lambda name: F.get_json_object("document", f"$.{name}").cast("double").alias(name)
+    return rows.select("entity_id", "version", pick("click"), pick("purchase"))
+
+
 @query(
     "fold_replacements",
     """SELECT CAST(user_id AS VARCHAR) AS entity_id, '/' || event_type AS path, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2""",

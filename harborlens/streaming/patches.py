@@ -147,26 +147,103 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
     return query
 
 
-def subscribe(updates: DataFrame, entity_ids: list[str], path: str, checkpoint: str) -> StreamingQuery:
-    """Keep a table of the latest document of the subscribed entities, one version per micro-batch.
+def fold_patches(patches: DataFrame, path: str, checkpoint: str, max_bytes: int | None = None, compact_every: int = 20) -> StreamingQuery:
+    """Apply the patches of each entity in order; publish every one, and keep the documents in a change log.
 
-    ``updates`` has entity_id, version and document. Each batch merges with the version before it and
-    writes the next; a repeated batch overwrites its own version.
+    As ``stream_entity_patches``, for entities with any number of patches in a micro-batch: rows are
+    sorted by entity and ``seq`` (Spark's sort, which spills) behind the entity's document so far, and a
+    task passes over them with one document in hand. Published patches are below ``path``/published,
+    without the documents between; documents are read with ``ChangeLog(path/documents)``.
     """
-    wanted = updates.where(F.col("entity_id").isin(entity_ids)).select("entity_id", "version", "document")
+    log = ChangeLog(f"{path}/documents", ["entity_id"], "version", compact_every)
+    schema = "entity_id STRING, version BIGINT, patch STRING, error STRING, document STRING, seq BIGINT"
+
+    def fold(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        entity, version, document, changed = None, 0, "{}", False
+        for chunk in chunks:
+            out = []
+            for name, known, seq, patch, held in chunk[["entity_id", "version", "seq", "patch", "document"]].itertuples(index=False):
+                if name != entity:
+                    if changed:
+                        out.append((entity, version, None, None, document, None))
+                    entity, version, document, changed = name, 0, "{}", False
+                if patch is None:
+                    version, document = int(known), held
+                    continue
+                error = None
+                try:
+                    after = apply_patch(document, patch)
+                    if max_bytes is not None and len(after) > max_bytes:
+                        raise ValueError("document too large")
+                    document, version, changed = after, version + 1, True
+                except (ValueError, KeyError, IndexError, TypeError) as problem:
+                    error = str(problem) or type(problem).__name__
+                out.append((name, version, patch, error, None, seq))
+            yield pd.DataFrame(out, columns=["entity_id", "version", "patch", "error", "document", "seq"])
+        if changed:
+            yield pd.DataFrame([(entity, version, None, None, document, None)], columns=["entity_id", "version", "patch", "error", "document", "seq"])
 
-    def merge(rows: DataFrame, batch: int) -> None:
+    def run(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
+        new = rows.where("patch IS NOT NULL").select("entity_id", F.lit(None).cast("bigint").alias("version"), "seq", "patch", F.lit(None).cast("string").alias("document"))
         if batch > 0:
-            rows = rows.unionByName(spark.read.parquet(f"{path}/snapshot={batch - 1}"))
-        row = F.struct("version", "document")
-        latest = rows.groupBy("entity_id").agg(F.max(row).alias("_r")).select("entity_id", "_r.*")
-        latest.write.mode("overwrite").parquet(f"{path}/snapshot={batch}")
+            held = log.read(spark, batch).join(new.select("entity_id").distinct(), "entity_id", "left_semi")
+            new = new.unionByName(held.select("entity_id", "version", F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("patch"), "document"))
+        ordered = new.repartition("entity_id").sortWithinPartitions("entity_id", F.col("patch").isNotNull(), "seq")
+        folder = f"{path}/folded/batch={batch}"
+        ordered.mapInPandas(fold, schema).write.mode("overwrite").parquet(folder)  # folded once, read twice
+        folded = spark.read.parquet(folder)
+        folded.where("patch IS NOT NULL").select("entity_id", "version", "seq", "patch", "error").write.mode("overwrite").parquet(f"{path}/published/batch={batch}")
+        log.append(folded.where("document IS NOT NULL").select("entity_id", "version", "document"), batch)
 
-    return wanted.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge).trigger(availableNow=True).start()
+    return patches.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run).trigger(availableNow=True).start()
+
+
+class ChangeLog:
+    """The latest row per key as a log: each micro-batch appends what it changed, and readers merge.
+
+    A batch writes its changes only. Every ``every`` batches the merged rows are written as a new base, and
+    readers need that base and the changes behind it. A repeated batch overwrites its own folders.
+    Folders before the newest base are not read any more and may be removed while nobody reads.
+    """
+
+    def __init__(self, path: str, keys: list[str], order: str, every: int = 20):
+        self.path, self.keys, self.order, self.every = path, keys, order, every
+
+    def _latest(self, rows: DataFrame) -> DataFrame:
+        others = [c for c in rows.columns if c not in (*self.keys, self.order)]
+        row = F.max_by(F.struct(*rows.columns), F.struct(self.order, *others)).alias("_row")
+        return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in self.keys]).agg(row).select("_row.*")
+
+    def append(self, rows: DataFrame, batch: int) -> None:
+        self._latest(rows).write.mode("overwrite").parquet(f"{self.path}/kind=change/batch={batch}")
+        if (batch + 1) % self.every == 0:
+            self.read(rows.sparkSession, batch + 1).write.mode("overwrite").parquet(f"{self.path}/kind=base/batch={batch}")
+
+    def read(self, spark: SparkSession, before: int | None = None) -> DataFrame:
+        """The latest rows, or those of the batches before the given one."""
+        rows = spark.read.option("basePath", self.path).parquet(self.path)
+        if before is not None:
+            rows = rows.where(F.col("batch") < before)
+        base = rows.where("kind = 'base'").agg(F.max("batch")).first()[0]  # folder names only
+        if base is not None:
+            rows = rows.where((F.col("batch") > base) | ((F.col("kind") == "base") & (F.col("batch") == base)))
+        return self._latest(rows.drop("kind", "batch"))
+
+
+def subscribe(
+    updates: DataFrame, entity_ids: list[str], path: str, checkpoint: str, compact_every: int = 20
+) -> StreamingQuery:
+    """Keep the latest documents of the subscribed entities as a change log.
+
+    ``updates`` has entity_id, version and document. Each batch appends the entities it changes;
+    ``snapshot`` merges them on reading.
+    """
+    log = ChangeLog(path, ["entity_id"], "version", compact_every)
+    wanted = updates.where(F.col("entity_id").isin(entity_ids)).select("entity_id", "version", "document")
+    return wanted.writeStream.option("checkpointLocation", checkpoint).foreachBatch(log.append).trigger(availableNow=True).start()
 
 
 def snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of a subscription's table."""
-    versions = spark.read.option("basePath", path).parquet(path)
-    return versions.where(F.col("snapshot") == versions.agg(F.max("snapshot")).scalar()).drop("snapshot")
+    """The latest documents of a subscription."""
+    return ChangeLog(path, ["entity_id"], "version").read(spark)
