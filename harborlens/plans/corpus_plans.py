@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from harborlens.functions import text as fn
 from harborlens.functions.draws import draw_sql, hash_draw
 from harborlens.operators import corpus as ops
-from harborlens.operators import community, evaluate, language, nearest, vocab
+from harborlens.operators import batches, community, evaluate, language, nearest, vocab
 from harborlens.plans.registry import Tables, query
 from harborlens.session import cut_lineage
 
@@ -387,6 +387,19 @@ def pack_batches(t: Tables):
     return ops.pack_batches(sized, 8000)
 
 
+@query(
+    "fill_batches",
+    f"""WITH RECURSIVE s AS MATERIALIZED (SELECT doc_id AS id, CAST({TOKENS.format('text')} AS INTEGER) AS token_count, ROW_NUMBER() OVER (ORDER BY doc_id) AS n FROM documents),
+    walk AS (SELECT n, token_count AS held, CAST(0 AS BIGINT) AS batch FROM s WHERE n = 1
+      UNION ALL SELECT s.n, CASE WHEN held + token_count > 8000 THEN token_count ELSE held + token_count END, CASE WHEN held + token_count > 8000 THEN batch + 1 ELSE batch END
+      FROM walk JOIN s ON s.n = walk.n + 1)
+    SELECT id, token_count, batch FROM s JOIN walk USING (n)""",
+)
+def fill_batches(t: Tables):
+    sized = docs(t).select("id", fn.token_count(F.col("text")).alias("token_count"))
+    return batches.fill_batches(sized, 8000)
+
+
 # Vocabulary
 
 
