@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborlens.llm.common import bounded_batches, slices
+from harborlens.llm.common import bounded_batches, hidden, slices
 
 #: Items are compared in blocks of so many; each block is one pass over the documents' words.
 BLOCK_ITEMS = 20_000
@@ -252,12 +252,13 @@ def find_items(
     blocks = max(1, -(-count // block_items))
     schema = "array<struct<item_id: bigint, edits: int, words: int, start: int, end: int>>"
     out = docs.select(*kept)
+    names = hidden(docs, *[f"_hits{block}" for block in range(blocks)])
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", F.lit("block")), F.lit(blocks)) == block) if blocks > 1 else items
         rows = part.orderBy("item_id", "text").collect()  # one bounded block
         index = spark.sparkContext.broadcast(Index([r.item_id for r in rows], [r.text for r in rows], similarity, samples, repetitions, seed))
-        out = _with_hits(out, index, text_column, f"_hits{block}", schema)
-    hits = F.col("_hits0") if blocks == 1 else F.flatten(F.array(*[F.col(f"_hits{b}") for b in range(blocks)]))
+        out = _with_hits(out, index, text_column, names[block], schema)
+    hits = F.col(names[0]) if blocks == 1 else F.flatten(F.array(*map(F.col, names)))
     return out.select(*kept, F.array_sort(hits).alias("hits"))
 
 

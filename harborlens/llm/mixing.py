@@ -78,9 +78,11 @@ def mix(
     Null texts have size 0, null sources are one source, null ids come first in their piece. Rows
     that are equal each count. A source without words gets no copies. An empty table stays empty.
     Columns of the input that clash with the new ones are replaced. Another run agrees, unless
-    rows share an id and a size but differ otherwise: then which of them is taken may change.
+    rows share an id and a text but differ otherwise: then which of them is taken may change.
     """
-    source, size, klass, piece, place, cb, pb, ss, tg = hidden(docs, *"_src _size _class _piece _place _cb _pb _ss _tg".split())
+    source, size, klass, piece, place, cb, pb, ss, tg, ks, kk, kp = hidden(
+        docs, *"_src _size _class _piece _place _cb _pb _ss _tg _ks _kk _kp".split()
+    )
     rows = docs.withColumns({source: F.col(source_column), size: word_count(F.col(text_column))})
     rows = rows.withColumns({klass: size_class(F.col(size)), piece: F.pmod(id_order(id_column), F.lit(pieces)).cast("int")})
     cells = cut_lineage(
@@ -102,16 +104,16 @@ def mix(
     ).select(F.col(f"p.{source}").alias(source), F.col(f"p.{klass}").alias(klass), F.col(piece), (F.col(cb) + F.col(pb)).alias(cb))
     known = cut_lineage(
         starts.join(plan, starts[source].eqNullSafe(plan["source"])).select(
-            F.col(source).alias("s_"), F.col(klass).alias("k_"), F.col(piece).alias("p_"), F.col(cb),
+            F.col(source).alias(ks), F.col(klass).alias(kk), F.col(piece).alias(kp), F.col(cb),
             F.col("source_size").alias(ss), F.col("target").alias(tg),
         )
     )
-    inside = Window.partitionBy(source, klass, piece).orderBy(id_order(id_column), size)
+    inside = Window.partitionBy(source, klass, piece).orderBy(id_order(id_column), size, F.xxhash64(text_column))
     ranked = rows.withColumn(place, F.row_number().over(inside))
-    bounded = known.select("s_").distinct().count() <= BROADCAST_SOURCES and known.count() <= BROADCAST_SOURCES * pieces
+    bounded = known.select(ks).distinct().count() <= BROADCAST_SOURCES and known.count() <= BROADCAST_SOURCES * pieces
     joined = ranked.join(
         F.broadcast(known) if bounded else known,
-        ranked[source].eqNullSafe(known["s_"]) & (ranked[klass] == known["k_"]) & (ranked[piece] == known["p_"]),
+        ranked[source].eqNullSafe(known[ks]) & (ranked[klass] == known[kk]) & (ranked[piece] == known[kp]),
     )
     rate = F.when(F.col(ss) > 0, F.col(tg) / F.col(ss)).otherwise(F.lit(0.0))
     at = F.col(cb) + F.col(place)

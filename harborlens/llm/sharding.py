@@ -35,16 +35,18 @@ def shard_by_bytes(
     the input that clash with the new ones are replaced.
     """
     spark = docs.sparkSession
-    at, size, crc, part, sum_, count, sb, cb, total, begin = hidden(docs, *"_at _size _crc _part _sum _count _sb _cb _total _begin".split())
+    at, size, crc, part, sum_, count, sb, cb, total, begin, own, mine, shard = hidden(
+        docs, *"_at _size _crc _part _sum _count _sb _cb _total _begin _own _mine _shard".split()
+    )
     ranges = ranges or 4 * shuffle_width(spark)
     ids = docs.select(id_order(id_column).alias(at))
     range_of = id_ranges(ids, F.col(at), ranges)
     rows = docs.withColumns({at: id_order(id_column), size: framed_bytes(F.col(text_column)), crc: text_crc32(F.col(text_column))})
     rows = rows.withColumn(part, range_of(F.col(at)))
     totals = rows.groupBy(part).agg(F.sum(size).alias(sum_), F.count(F.lit(1)).alias(count))
-    before = Window.orderBy("r_").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut_lineage(totals.withColumnRenamed(part, "r_").select(
-        "r_",
+    before = Window.orderBy(own).rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut_lineage(totals.withColumnRenamed(part, own).select(
+        own,
         F.coalesce(F.sum(sum_).over(before), F.lit(0)).alias(sb),
         F.coalesce(F.sum(count).over(before), F.lit(0)).alias(cb),
         F.sum(sum_).over(Window.partitionBy()).alias(total),
@@ -53,16 +55,16 @@ def shard_by_bytes(
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         rows.withColumns({sum_: F.sum(size).over(upto), count: F.row_number().over(order)})
-        .join(F.broadcast(starts), F.col(part) == F.col("r_"))  # one row per range, 4,096 at most
-        .withColumn("shard_", F.expr(f"cast((({sb} + {sum_} - {size}) * {int(shards)}L) div {total} as int)"))
+        .join(F.broadcast(starts), F.col(part) == F.col(own))  # one row per range, 4,096 at most
+        .withColumn(shard, F.expr(f"cast((({sb} + {sum_} - {size}) * {int(shards)}L) div {total} as int)"))
         .withColumn(count, F.col(cb) + F.col(count))
     )
-    first = placed.groupBy(F.col("shard_").alias("s_")).agg(F.min(count).alias(begin))
+    first = placed.groupBy(F.col(shard).alias(mine)).agg(F.min(count).alias(begin))
     fresh = {
-        "size": F.col(size), "text_crc32": F.col(crc), "shard": F.col("shard_"),
+        "size": F.col(size), "text_crc32": F.col(crc), "shard": F.col(shard),
         "slot": (F.col(count) - F.col(begin)).cast("long"),
     }
     kept = [F.col(c) for c in docs.columns if c.lower() not in fresh]
-    return placed.join(F.broadcast(first), F.col("shard_") == F.col("s_")).select(  # one row per shard
+    return placed.join(F.broadcast(first), F.col(shard) == F.col(mine)).select(  # one row per shard
         *kept, *[value.alias(name) for name, value in fresh.items()]
     )

@@ -160,13 +160,13 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     A null id counts as the smallest. Of rows that share the smallest id the one whose text hashes
     lowest stays, of equal rows any one; what stays is a row of the input.
     """
-    at, mark, place = hidden(docs, "_at", "_mark", "_place")
+    at, mark, place, low, lowest = hidden(docs, "_at", "_mark", "_place", "_low", "_lowest")
     keys = docs.withColumns({at: id_order(id_column), mark: F.xxhash64(text_column)})
-    rows = keys.select(F.col(at).alias("i_"), F.col(mark).alias("m_"), F.col(text_column).alias("_text"))
+    rows = keys.select(F.col(at).alias(low), F.col(mark).alias(lowest), F.col(text_column).alias("_text"))
     rows = cut_lineage(add_fingerprints(rows, "_text", "_fp", width))
     classes = classes_of(rows)
-    least = rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(F.struct("i_", "m_")).alias("least"))
-    chosen = classes.join(least, "fp").groupBy("component").agg(F.min("least").alias("least")).select("least.i_", "least.m_")
-    kept = keys.join(chosen, (F.col(at) == F.col("i_")) & (F.col(mark) == F.col("m_")), "left_semi")
+    least = rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(F.struct(low, lowest)).alias("least"))
+    chosen = classes.join(least, "fp").groupBy("component").agg(F.min("least").alias("least")).select(f"least.{low}", f"least.{lowest}")
+    kept = keys.join(chosen, (F.col(at) == F.col(low)) & (F.col(mark) == F.col(lowest)), "left_semi")
     first = Window.partitionBy(at, mark).orderBy(F.lit(1))
     return kept.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).select(*docs.columns)
