@@ -21,13 +21,14 @@ TITLES = "Mr Mrs Ms Miss Dr Prof Sir Doctor Professor Herr Frau Monsieur Madame
 SYLLABLES = {
     "latin": "ba bel cor dan del fen gar hal hol jen kar kel lan lor mal mer nor pal per quin ral ren sal ser tal tor van vel wen wil yar zan".split(),
     "cyrillic": "ба бел вар вин гор дан дол жар зан зор кал кор лав лен мар мир нар нов ор пал пен рад рол сав сол тар тул фан хор чер шал яр".split(),
+    "greek": "βαλ γαρ δαν δορ ζαν θελ θορ καλ κορ λαν λεν μαρ μελ μιρ νορ παλ περ ραν ρεν σαλ σερ ταρ τελ τορ φαν χαρ".split(),
 }
 _GIVEN = "|".join(sorted((n for pool in GIVEN_NAMES.values() for n in pool), key=len, reverse=True))
 _TITLE = "|".join(TITLES)
 
 #: What is detected, in the order in which kinds are told apart. Fixed formats, as Java patterns. A
 #: mention starts where no letter or digit stands before it; possessive runs (++) never look twice.
-_LOCAL = r"[\w.%+\-\u00C0-\u024F\u0370-\u04FF]++"
+_LOCAL = r"[\p{L}\p{N}_.%+\-]++"
 _LABEL = r"[A-Za-z0-9\-]++"
 _SURNAME = r"\p{Lu}\p{Ll}++(?:-\p{Lu}\p{Ll}++)*+(?!\p{L})"
 PATTERNS = {
@@ -42,6 +43,21 @@ PATTERNS = {
 _FIRST = {"ip": r"(?=\d)", "card": r"(?=\d)", "ssn": r"(?=\d)", "phone": r"(?=[+(\d])", "secret": "(?=[0-9a-fA-F])", "name": r"(?=\p{Lu})"}
 ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(_FIRST.get(k, "") + f"(?:{p})" for k, p in PATTERNS.items()) + ")"
 NAMES = r"(?<![\p{L}\p{N}])(?:" + PATTERNS["name"] + ")"
+#: What a character is drawn from: the first pool whose pattern it has.
+POOLS = [
+    ("0123456789", "[0-9]"),
+    ("abcdefghijklmnopqrstuvwxyz", "[a-z]"),
+    ("àáâãäåæçèéêëìíîïñòóôõöøùúûüý", "[à-ÿ]"),
+    ("абвгдежзийклмнопрстуфхцчшщъыьэюя", "[\u0400-\u04FF]"),
+    ("αβγδεζηθικλμνξοπρστυφχψω", "[\u0370-\u03FF]"),
+    ("āăąćčďđēęěğģīįķĺļľłńņňőŕřśşšťūůűųźżž", "[\u00DF\u0100-\u024F]"),
+    ("安白成大方高国海和江金林明南平青山水天文西小新星雨", r"\p{IsHan}"),
+    ("abcdefghijklmnopqrstuvwxyz", r"\p{L}"),
+]
+#: After so many attempts an e-mail address gets longer, and an IP address leaves its private range.
+FORMAT_ATTEMPTS = 4
+#: Where a value still has no free surrogate after so many attempts, its format has none left to find.
+MOST_ATTEMPTS = 64
 #: More values with another surrogate than the first choice than this are looked up by a join.
 BROADCAST_VALUES = 100_000
 
@@ -81,18 +97,17 @@ def _pick(letters: str, number: Column) -> Column:
 
 
 def _characters(value: Column, seed: Column, hexadecimal: bool = False) -> Column:
-    """Each character by a keyed one of its sort (digit, letter of its script); others stay."""
+    """Each character by a keyed one of its sort (digit, letter of its script, else a Latin letter); what is neither stays."""
     stream = _stream(seed, F.length(value))
 
     def one(i: Column) -> Column:
         c, n = F.substring(value, i + 1, 1), _number(stream, i)
         if hexadecimal:
             return _pick("0123456789abcdef", n)
-        return (
-            F.when(c.rlike("[0-9]"), _pick("0123456789", n)).when(c.rlike("[a-z]"), _pick("abcdefghijklmnopqrstuvwxyz", n))
-            .when(c.rlike("[à-ÿ]"), _pick("àáâãäåæçèéêëìíîïñòóôõöøùúûüý", n)).when(c.rlike("[а-я]"), _pick("абвгдежзийклмнопрстуфхцчшщъыьэюя", n))
-            .when(c.rlike("[α-ω]"), _pick("αβγδεζηθικλμνξοπρστυφχψω", n)).otherwise(c)
-        )
+        pool = None
+        for letters, pattern in POOLS:
+            pool = F.when(c.rlike(pattern), letters) if pool is None else pool.when(c.rlike(pattern), letters)
+        return F.coalesce(F.substring(pool, F.pmod(n, F.length(pool)) + 1, F.lit(1)), c)
 
     return F.array_join(F.transform(F.sequence(F.lit(0), F.length(value) - 1), one), "")
 
@@ -117,22 +132,29 @@ def _card(value: Column, seed: Column) -> Column:
     return F.concat(body, F.when(valid, check).otherwise(wrong).cast("string"))
 
 
-def _ip(value: Column, seed: Column) -> Column:
-    """Octets by octets; an address of a private range keeps the range."""
+def _ip(value: Column, seed: Column, attempt: Column) -> Column:
+    """Octets by octets; an address of a private range keeps the range as long as attempts find a free one there."""
     stream = _stream(seed, F.lit(4))
     octets = [_number(stream, F.lit(i)).cast("string") for i in range(4)]
     given = F.split(value, r"\.")
     keep = F.when(value.rlike(r"^(10|127)\."), 1).when(value.rlike(r"^(192\.168|169\.254|172\.(1[6-9]|2\d|3[01]))\."), 2).otherwise(0)
+    keep = F.when(attempt < 4 * FORMAT_ATTEMPTS, keep).otherwise(0)
     return F.concat_ws(".", *[F.when(keep > i, F.element_at(given, i + 1)).otherwise(octets[i]) for i in range(4)])
 
 
-def _email(value: Column, key: str, seed: Column) -> Column:
-    """The domain has a surrogate of its own, so addresses of one domain stay together; its last label stays."""
+def _email(value: Column, key: str, seed: Column, attempt: Column) -> Column:
+    """The domain has a surrogate of its own, so addresses of one domain stay together; its last label stays.
+
+    Some attempts on, the local part gets letters, one more each time, so that one without letters or
+    digits, or as short as all its neighbours, has free surrogates too.
+    """
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     top = F.substring_index(domain, ".", -1)
     rest = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
     named = _characters(rest, F.concat(F.lit(f"{key}|domain|"), domain))
-    return F.concat(_characters(local, seed), F.lit("@"), named, F.lit("."), top)
+    more = F.least(F.greatest(attempt - FORMAT_ATTEMPTS, F.lit(0)), F.lit(20))
+    letters = F.substring(F.translate(_stream(F.concat(seed, F.lit("|more")), F.lit(20)), "0123456789", "ghijklmnop"), F.lit(1), more)
+    return F.concat(_characters(local, seed), letters, F.lit("@"), named, F.lit("."), top)
 
 
 def _surname(value: Column, seed: Column, attempt: Column) -> Column:
@@ -145,7 +167,7 @@ def _surname(value: Column, seed: Column, attempt: Column) -> Column:
         return F.array_join(F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.element_at(pool, F.pmod(_number(stream, i), F.lit(len(SYLLABLES[script]))) + 1)), "")
 
     ending = F.regexp_extract(value, "(ова|ева|ина|ская|ов|ев|ин|ский)$", 1)
-    return F.when(value.rlike("[а-я]"), F.concat(made("cyrillic"), ending)).otherwise(made("latin"))
+    return F.when(value.rlike("[а-я]"), F.concat(made("cyrillic"), ending)).when(value.rlike("[\u0370-\u03FF]"), made("greek")).otherwise(made("latin"))
 
 
 def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
@@ -153,7 +175,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     seed = F.concat_ws("|", F.lit(key), kind, value, attempt.cast("string"))
     phone = F.concat(F.substring(value, 1, 1), _characters(F.substring(value, F.lit(2), F.length(value)), seed))
     return (
-        F.when(kind == "email", _email(value, key, seed)).when(kind == "ip", _ip(value, seed)).when(kind == "card", _card(value, seed))
+        F.when(kind == "email", _email(value, key, seed, attempt)).when(kind == "ip", _ip(value, seed, attempt)).when(kind == "card", _card(value, seed))
         .when(kind == "phone", phone).when(kind == "secret", _characters(value, seed, hexadecimal=True))
         .when(kind == "name", _surname(value, seed, attempt)).otherwise(_characters(value, seed))
     )
@@ -195,11 +217,13 @@ def attempts(found: DataFrame, key: str) -> DataFrame:
     """(kind, value, attempt) of the canonical values for which attempt 0 is taken.
 
     A surrogate is free if no smaller value of its kind holds it and it is no value of the text
-    itself. Values that miss try again; the settled ones stay, so every round leaves fewer.
+    itself. Values that miss try again; the settled ones stay, so every round leaves fewer. Names and
+    e-mail addresses grow until they are free; a format of fixed length whose values the table
+    nearly uses up raises a ValueError after ``MOST_ATTEMPTS``.
     """
     values = cut_lineage(found.select("kind", "value").distinct())
     state = cut_lineage(values.withColumn("attempt", F.lit(0)).withColumn("made", surrogate(F.col("kind"), F.col("value"), F.lit(0), key)))
-    while True:
+    for _ in range(MOST_ATTEMPTS):
         holder = state.groupBy("kind", "made").agg(F.min(F.struct("attempt", "value")).alias("holder"), F.count(F.lit(1)).alias("n")).where("n > 1")
         twice = state.join(holder.select("kind", "made", "holder"), ["kind", "made"]).where("value <> holder.value").select("kind", "value")
         real = state.join(values.select("kind", F.col("value").alias("made")), ["kind", "made"]).select("kind", "value")
@@ -209,6 +233,8 @@ def attempts(found: DataFrame, key: str) -> DataFrame:
         again = state.join(missed, ["kind", "value"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("missed", F.lit(0)))
         fresh = F.when(F.col("missed") == 1, surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)).otherwise(F.col("made"))
         state = cut_lineage(again.select("kind", "value", "attempt", fresh.alias("made")))
+    left = ", ".join(r.kind for r in missed.select("kind").distinct().collect())
+    raise ValueError(f"no free surrogates after {MOST_ATTEMPTS} attempts, of kinds: {left}")
 
 
 def pattern_of(text: Column) -> Column:
@@ -261,12 +287,15 @@ def replace_entities(docs: DataFrame, key: str = "harborlens", id_column: str =
     else:
         rows = rows.withColumn(over, F.lit(None).cast("map<string, int>"))
 
-    def replaced(e: Column) -> Column:
+    def drawn(e: Column) -> Column:
         attempt = F.coalesce(F.element_at(F.col(over), F.concat_ws("|", e["kind"], e["value"])), F.lit(0))
-        made = surrogate(e["kind"], e["value"], attempt, key)
-        return F.struct(e["kind"].alias("kind"), dressed(e["kind"], e["mention"], made, key).alias("surrogate"))
+        return F.struct(e["kind"].alias("kind"), e["mention"].alias("mention"), surrogate(e["kind"], e["value"], attempt, key).alias("made"))
+
+    def worded(e: Column) -> Column:
+        return F.struct(e["kind"].alias("kind"), dressed(e["kind"], e["mention"], e["made"], key).alias("surrogate"))
 
-    entities = F.transform(found_name, replaced)
+    # Two steps: the surrogate stands once in the plan and is drawn once, not again for every character of the mention.
+    entities = F.transform(F.transform(found_name, drawn), worded)
     kept = [c for c in docs.columns if c.lower() != "entities"]
     rows = rows.select(*kept, sought, entities.alias(at))
     gaps = F.split(F.col(text_column), F.col(sought), -1)

@@ -327,3 +327,15 @@ def test_pipeline_run_and_odd_tables(spark, stages, tmp_path):
             if name == "near_duplicates" and data:
                 assert docs.count() == 3  # the two without words are one component
         assert docs.columns[6:] == ["size_", "text_crc32", "shard", "slot"]
+
+
+def test_surrogates_settle_where_nothing_can_be_redrawn(spark):
+    data = [(i, f"write to _@{c}.com now") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")]
+    data += [(100, "żżł@firma.pl and 李雷@x.cn and ё@почта.example.com"), (101, "Dr. Παπαδόπουλος came")]
+    rows = {r.doc_id: r for r in surrogate.replace_entities(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    given = {f"_@{c}.com" for c in "abcdefghijklmnopqrstuvwxyz"}
+    made = [rows[i].entities[0].surrogate for i in range(26)]
+    assert len(set(made)) == 26 and not given & set(made) and all(m.startswith("_") for m in made)
+    text = rows[100].text
+    assert not any(c in text for c in ("żżł", "李", "雷", "firma"))
+    assert re.fullmatch(r"Dr\. [Ͱ-Ͽ]+ came", rows[101].text) and "Παπαδόπουλος" not in rows[101].text
