@@ -1,15 +1,18 @@
 """Near-duplicate passages by compact windows of min-hashes.
 
-For one hash function, all subsequences of a text whose least shingle is the same one form compact
-windows (l, c, r): whatever starts in l..c and ends in c..r has its minimum at c. They are the nodes
-of the Cartesian tree over the shingles' hashes, and those that hold a passage of the least length
-number about two per such length. Texts that have a near-duplicate passage in common have, for most of
-the hash functions, windows with the same minimum around it: the intervals meet there.
+Two near-duplicate passages have a run of consecutive shingles in common whose length follows from
+the similarity (``shared_run``). Hashes of somewhat shorter runs are taken at every shingle. All
+stretches whose least hash is the same one form a compact window (l, c, r): whatever starts in l..c and
+ends in c..r has its minimum at c. Two texts that share a long run have windows with the same minimum
+whose intervals meet over it, so that one hash function finds every such pair. The windows are the
+nodes of the Cartesian tree over the hashes; about two per least length are needed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +26,12 @@ from harborlens.operators.graph import connected_components
 from harborlens.session import cut_lineage, scratch_path
 
 WIDTH = 5
-#: Hash functions; every window is joined on the minimum of one and the minima of the others beside it.
+#: Hash functions to choose from. Any one finds all shared runs; the join uses the first.
 FUNCTIONS = 4
-#: The other minima are those of so many shingles beside the centre: few, so that an edit seldom is among them.
-BESIDE = 6
-#: How many minima of further functions part the runs of a large group's members that stay open, before whole runs do.
-LEVELS = (2, 4)
 #: Where a member of a group of at most so many windows is not like the first one, it is compared with all.
 ALL_PAIRS = 16
+#: How far around a window's centre, in least lengths, a passage that can not be cut into shorter ones may reach.
+REACH = 3
 CHUNK_BYTES = 1 << 19
 _MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165)]
 
@@ -58,26 +59,36 @@ def signature(values: np.ndarray, function: int) -> np.ndarray:
     return np.where(values == 0, np.uint64(0), np.maximum(out, np.uint64(FUNCTIONS * 2)))
 
 
-def compact_windows(values: np.ndarray, bounds: np.ndarray, function: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows of [text, l, c, r] in shingles of the text, signature of each) of all windows of ``least`` shingles or more.
-
-    A node of the Cartesian tree spans that much exactly if it is the least of some run of that
-    length, and so do its ancestors, which bound it: the tree is built from these few alone.
-    """
-    none = np.zeros((0, 4), np.int64), np.zeros(0, np.uint64)
+def centres_of(values: np.ndarray, function: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, places that are the least of some ``least`` places in a row)."""
     hashed = signature(values, function)
     if len(hashed) < least:
-        return none
+        return hashed, np.zeros(0, np.int64)
     low = suffix.sliding(hashed, least, np.minimum)
     edge = np.zeros(least - 1, np.uint64)
-    centres = np.flatnonzero((suffix.sliding(np.r_[edge, low, edge], least, np.maximum) == hashed) & (values != 0))
+    return hashed, np.flatnonzero((suffix.sliding(np.r_[edge, low, edge], least, np.maximum) == hashed) & (values != 0))
+
+
+def compact_windows(
+    values: np.ndarray, bounds: np.ndarray, function: int, least: int, width: int = WIDTH,
+) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of [text, l, c, r] in places of the text, signature of each) of all windows of ``least`` places or more.
+
+    A value stands for ``width`` words from its place on, so that the last places of a text have none.
+
+    A node of the Cartesian tree spans that much exactly if it is the least of some run of that
+    length, and so do its ancestors, which bound it: the tree is built from these few alone.
+    """
+    hashed, centres = centres_of(values, function, least)
+    if not len(centres):
+        return np.zeros((0, 4), np.int64), np.zeros(0, np.uint64)
     owner = np.searchsorted(bounds, centres, side="right") - 1
     place, value = centres.tolist(), hashed[centres].tolist()
     windows, chosen = [], []
-    cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True]).tolist() if len(owner) else []
+    cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True]).tolist()
     for a, b in zip(cuts, cuts[1:]):
         text = int(owner[a])
-        start, end = int(bounds[text]), int(bounds[text + 1]) - WIDTH + 1
+        start, end = int(bounds[text]), int(bounds[text + 1]) - width + 1
         right = [end] * (b - a)
         left, stack = [], []
         for i in range(a, b):
@@ -89,39 +100,58 @@ def compact_windows(values: np.ndarray, bounds: np.ndarray, function: int, least
             if right[i - a] - left[i - a] >= least:
                 windows.append((text, left[i - a] - start, place[i] - start, right[i - a] - 1 - start))
                 chosen.append(i)
-    return (np.array(windows, np.int64), hashed[centres[chosen]]) if windows else none
+    return np.array(windows, np.int64).reshape(-1, 4), hashed[centres[chosen]]
+
 
+@cache
+def shared_run(least: int, similarity: float) -> int:
+    """So many consecutive shingles any two near-duplicate passages of ``least`` shingles or more have in common.
 
-def joined_signatures(values: np.ndarray, bounds: np.ndarray, function: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows as above, once per side, and the key of each: its minimum and three more minima on that side.
+    Where passages of m and n shingles have b places at which the common ones do not go on alike, each
+    such place takes ``WIDTH`` - 1 shingles at least from either (all that span it), wherever no
+    ``WIDTH`` - 1 words repeat inside the passage. So Jaccard s needs 4 b (1 + s) <= (1 - s) m for five
+    words, and s (m + 4 b) common shingles or more are in b + 1 runs: the longest has their share.
+    """
+    lost, out = WIDTH - 1, least
+    for places in range(64):
+        if places and similarity >= 1:
+            break
+        size = max(least, ceil(lost * places * (1 + similarity) / (1 - similarity) - 1e-9)) if places else least
+        out = min(out, ceil(similarity * (size + lost * places) / (places + 1) - 1e-9))
+    return max(1, out)
 
-    A passage around c has at least half its shingles up to c or from c on. The ``BESIDE`` next to
-    c on that side (half of the least length if that is less) are in the passage for both texts, so
-    the minima of other functions there agree too: always for exact repeats; for near ones
-    wherever no edit stands that near to c on the side, whatever the rest of the passage holds.
+
+def seeds(least: int, similarity: float) -> tuple[int, int]:
+    """(shingles per hashed run, places per window): any shared run holds a whole window of such runs."""
+    run = (2 * shared_run(least, similarity) + 1) // 3
+    return run, shared_run(least, similarity) - run + 1
+
+
+def hashed_runs(values: np.ndarray, bounds: np.ndarray, run: int) -> np.ndarray:
+    """The hash of ``run`` shingles from every one, 0 where they would pass the end of a text."""
+    out = np.zeros(len(values), np.uint64)
+    whole = run_hash(values, run)
+    out[:len(whole)] = np.maximum(whole, 1)
+    for k in range(1, run + WIDTH - 1):
+        last = bounds[1:] - k
+        out[last[last >= bounds[:-1]]] = 0
+    return out
+
+
+def joined_signatures(
+    values: np.ndarray, bounds: np.ndarray, function: int, least: int, similarity: float = 0.8,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Compact windows over hashed runs of shingles, and their minima as keys; l, c and r are first shingles of runs.
 
     Where a text repeats the same few words many times, the minimum stands at equal distances. Of
     such a stretch the first and the last window stay (``inside_stretch``).
     """
-    windows, found = compact_windows(values, bounds, function, least)
+    run, span = seeds(least, similarity)
+    windows, keys = compact_windows(hashed_runs(values, bounds, run), bounds, function, span, run + WIDTH - 1)
     if not len(windows):
-        return windows, found
-    half = min(BESIDE, least // 2)
-    centre = bounds[windows[:, 0]] + windows[:, 2]
-    lows = [suffix.sliding(signature(values, (function + k) % FUNCTIONS), half, np.minimum) for k in (1, 2, 3)]
-    out = []
-    for side, at in enumerate((centre - half + 1, centre)):
-        valid = (at >= 0) & (at < len(lows[0]))
-        key = found.copy()
-        for low in lows:
-            beside = low[np.clip(at, 0, len(low) - 1)]
-            valid &= beside > 0
-            key = (key ^ beside) * np.uint64(0xD6E8FEB86659FD93)
-            key ^= key >> np.uint64(32)
-        kept, keys = windows[valid], (key[valid] ^ np.uint64(side)) * np.uint64(0x9E3779B97F4A7C15)
-        outer = ~inside_stretch(values, centre[valid], kept, keys, least)
-        out.append((kept[outer], keys[outer]))
-    return np.concatenate([w for w, _ in out]), np.concatenate([k for _, k in out])
+        return windows, keys
+    outer = ~inside_stretch(values, bounds[windows[:, 0]] + windows[:, 2], windows, keys, least)
+    return windows[outer], keys[outer]
 
 
 def inside_stretch(values: np.ndarray, centre: np.ndarray, windows: np.ndarray, keys: np.ndarray, least: int) -> np.ndarray:
@@ -146,19 +176,20 @@ def inside_stretch(values: np.ndarray, centre: np.ndarray, windows: np.ndarray,
     return out
 
 
-def _announce(batches: Iterator[pa.RecordBatch], least: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _announce(batches: Iterator[pa.RecordBatch], least: int, similarity: float, buckets: int) -> Iterator[pa.RecordBatch]:
     """(bucket, names, texts): which signatures which texts have, packed per bucket."""
+    run, span = seeds(least, similarity)
     names, owners, held = [], [], 0
     for batch in batches:
         keys, texts = batch.column("key").to_numpy(), batch.column("text").to_pylist()
         for a, b in slices(len(texts), np.array([len(t) for t in texts]), CHUNK_BYTES):
             values, bounds = shingles(texts[a:b])
-            for function in range(FUNCTIONS):
-                windows, found = joined_signatures(values, bounds, function, least)
-                names.append(found)
-                owners.append(keys[a:b][windows[:, 0]])
-                held += len(found)
-        if held >= 2_000_000:
+            hashed, centres = centres_of(hashed_runs(values, bounds, run), 0, span)
+            if len(centres):
+                names.append(hashed[centres])
+                owners.append(keys[a:b][np.searchsorted(bounds, centres, side="right") - 1])
+                held += len(centres)
+        if held >= 1_000_000:
             yield suffix.packed_names(names, owners, buckets)
             names, owners, held = [], [], 0
     if held:
@@ -168,7 +199,7 @@ def _announce(batches: Iterator[pa.RecordBatch], least: int, buckets: int) -> It
 WINDOW = "sig long, at long, key long, l int, c int, r int, text string"
 
 
-def _windows(batches: Iterator[pa.RecordBatch], least: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch], least: int, similarity: float, buckets: int) -> Iterator[pa.RecordBatch]:
     """The windows whose signature another text has too, and a row with the text of each text that has such."""
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
     names = [f.split()[0] for f in WINDOW.split(", ")]
@@ -179,22 +210,18 @@ def _windows(batches: Iterator[pa.RecordBatch], least: int, buckets: int) -> Ite
         keys = np.array([batch.column("key")[i].as_py() for i in wanted], np.int64)
         known = [np.sort(batch.column("names")[i].values.to_numpy()) for i in wanted]
         for a, b in slices(len(texts), np.array([len(t) for t in texts]), CHUNK_BYTES):
-            values, bounds = shingles(texts[a:b])
-            seen: set[int] = set()
-            for function in range(FUNCTIONS):
-                table, found = joined_signatures(values, bounds, function, least)
-                if not len(table):
-                    continue
-                bucket, name = suffix.short_names(found, buckets)
-                name = name.astype(np.int64) * buckets + bucket
-                cuts = np.flatnonzero(np.r_[True, table[1:, 0] != table[:-1, 0], True])
-                shared = np.concatenate([np.isin(name[x:y], known[a + table[x, 0]]) for x, y in zip(cuts, cuts[1:])])
-                table = table[shared]
-                seen.update(table[:, 0].tolist())
-                who = a + table[:, 0]
-                columns = [found[shared].view(np.int64), ids[who], keys[who], *table[:, 1:].T.astype(np.int32), [None] * len(table)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
-            rows = [a + i for i in sorted(seen)]
+            table, found = joined_signatures(*shingles(texts[a:b]), 0, least, similarity)
+            if not len(table):
+                continue
+            bucket, name = suffix.short_names(found, buckets)
+            name = name.astype(np.int64) * buckets + bucket
+            cuts = np.flatnonzero(np.r_[True, table[1:, 0] != table[:-1, 0], True])
+            shared = np.concatenate([np.isin(name[x:y], known[a + table[x, 0]]) for x, y in zip(cuts, cuts[1:])])
+            table = table[shared]
+            who = a + table[:, 0]
+            columns = [found[shared].view(np.int64), ids[who], keys[who], *table[:, 1:].T.astype(np.int32), [None] * len(table)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+            rows = np.unique(who).tolist()
             columns = [[None] * len(rows), ids[rows], keys[rows], *[[None] * len(rows)] * 3, [texts[i] for i in rows]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
@@ -206,24 +233,16 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _boxes(found: DataFrame) -> DataFrame:
-    """One row per pair of texts from (x, y): windows of one signature."""
-    return found.groupBy(
-        F.col("x.at").alias("a"), F.col("x.key").alias("key_a"), F.col("y.at").alias("b"), F.col("y.key").alias("key_b")
-    ).agg(F.collect_set(F.struct(
-        F.col("x.l").alias("la"), F.col("x.c").alias("ca"), F.col("x.r").alias("ra"),
-        F.col("y.l").alias("lb"), F.col("y.c").alias("cb"), F.col("y.r").alias("rb"),
-    )).alias("boxes"))
-
-
 def _link(windows: DataFrame, texts: DataFrame, least: int, similarity: float) -> DataFrame:
     """(a, b, matches): verified links between texts, enough to join what belongs together.
 
     In a group of windows with one key every member is compared with the first. Nearly always that
     settles the group, and no group is expanded into pairs. Members that are not like it stay
-    open: in a small group they are compared with all its members, a large one is parted by what
-    stands around the centres (``_part``).
+    open and are compared with all others: in a small group as they are, in a large one where they
+    have enough in common besides (``_apart``). Two members that the first one settles are in its
+    class; any other pair has an open member, so no class is parted.
     """
+    run, span = seeds(least, similarity)
     active = windows.select("sig", F.struct("at", "key", "l", "c", "r").alias("y"))
     groups = active.groupBy("sig").agg(
         F.min("y").alias("x"), F.min("y.at").alias("low"), F.max("y.at").alias("high"), F.count(F.lit(1)).alias("n")
@@ -232,121 +251,105 @@ def _link(windows: DataFrame, texts: DataFrame, least: int, similarity: float) -
     found = _written(star.select("sig", "n", "y", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q")), "window-pairs")
     if found.isEmpty():
         return windows.sparkSession.createDataFrame([], MATCH)
-    links, attempted = _look(found, None, None, texts, least, similarity)
+    # A shared run lies in the intervals of both windows around the centre.
+    before = F.least(F.col("p.c") - F.col("p.l"), F.col("q.c") - F.col("q.l"))
+    meet = before + F.least(F.col("p.r") - F.col("p.c"), F.col("q.r") - F.col("q.c")) + 1 >= span
+    links, attempted = _look(found.where(meet), None, None, texts, least, similarity)
     # A member is settled where a link to its first one covers the window's centre.
-    over = _written(_uncovered(found, links, F.col("y.c"), F.col("y.c") + 1).select("sig", "n", "y"), "left-over")
+    over = _written(_uncovered(found, links, run).select("sig", "n", "y"), "left-over")
     small = over.where(F.col("n") <= ALL_PAIRS).select("sig", "y")
     if not small.isEmpty():
         others = active.join(small.select("sig").distinct(), "sig", "left_semi").select("sig", F.col("y").alias("z"))
         every = small.join(others, "sig").where(F.col("y.at") != F.col("z.at"))
-        links, attempted = _look(every.select(F.least("y", "z").alias("p"), F.greatest("y", "z").alias("q")), links, attempted, texts, least, similarity)
+        every = every.select(F.least("y", "z").alias("p"), F.greatest("y", "z").alias("q")).where(meet)
+        links, attempted = _look(every, links, attempted, texts, least, similarity)
     open_ = over.where(F.col("n") > ALL_PAIRS).select("sig", "y").distinct()
     if not open_.isEmpty():
-        links = _part(active, open_, links, attempted, texts, least, similarity)
+        links = _apart(active, open_, links, attempted, texts, least, similarity, meet)
     return links.groupBy("a", "b").agg(F.flatten(F.collect_list("matches")).alias("matches"))
 
 
-def _uncovered(found: DataFrame, links: DataFrame, start, end) -> DataFrame:
-    """Rows of (y, p, q) for which no link between p and q covers the shingles from start to before end of y."""
+def _uncovered(found: DataFrame, links: DataFrame, run: int) -> DataFrame:
+    """Rows of (y, p, q) for which no link between p and q covers the shingles at the centre of y."""
     linked = links.select("a", "b", F.explode("matches").alias("m"))
     # A match's end counts words; its last shingle starts some words before.
+    start, end = F.col("y.c"), F.col("y.c") + run
     inside = lambda side: (start >= F.col(f"m.start_{side}")) & (end <= F.col(f"m.end_{side}") - (WIDTH - 1))
     return found.join(linked, (F.col("p.at") == F.col("a")) & (F.col("q.at") == F.col("b")) & F.when(
         F.col("y.at") == F.col("b"), inside("b")
     ).otherwise(inside("a")), "left_anti")
 
 
-def _part(active: DataFrame, open_: DataFrame, links: DataFrame, attempted: DataFrame, texts: DataFrame, least: int, similarity: float) -> DataFrame:
-    """All links, after the large groups with open members have been parted until none is left.
+def _apart(
+    active: DataFrame, open_: DataFrame, links: DataFrame, attempted: DataFrame, texts: DataFrame, least: int, similarity: float, meet,
+) -> DataFrame:
+    """All links, after the open members of large groups have been compared with all that can be like them.
 
-    Every run of the least length around a centre has minima of further functions. Runs that agree
-    in some of them form smaller groups: all pairs with open members where they are few, else a
-    star again; what stays open is parted by more minima. In the end every run that an open member
-    has in common with others word for word makes a star, whatever was settled before, so no
-    exact repeat is lost; near ones stay together with the chance of each minimum.
+    Near-duplicate passages around a centre have ``similarity`` times ``least`` different shingles
+    in common, all within ``REACH`` least lengths of it (a longer pair has a shorter one in it). Count
+    the shingles that stand so near to the members' centres. If a pair shares one that occurs there
+    ``ALL_PAIRS`` times or less, the two meet at that shingle. Else all they share are frequent ones:
+    members with enough of those meet by their group, and the numbers in common are compared first.
     """
+    need = ceil(similarity * least - 1e-9)
     members = active.join(open_.select("sig").distinct(), "sig", "left_semi").join(open_.withColumn("open", F.lit(True)), ["sig", "y"], "left")
-    of_text = members.groupBy(F.col("y.at").alias("at"), F.col("y.key").alias("key")).agg(
-        F.collect_list(F.struct("sig", "y.l", "y.c", "y.r", F.coalesce("open", F.lit(False)).alias("open"))).alias("members")
+    members = _written(members.withColumn("open", F.coalesce("open", F.lit(False))), "members")
+    of_text = members.groupBy(F.col("y.at").alias("at"), F.col("y.key").alias("key")).agg(F.collect_set(F.struct("y.c", "open")).alias("members"))
+    made = of_text.join(texts, ["at", "key"]).select("at", "key", "members", "text")
+    around = _written(made.mapInArrow(lambda batches: _around(batches, REACH * least), AROUND), "around")
+    counts = around.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("n"), F.min("at").alias("low"), F.max("at").alias("high"), F.max("open").alias("some")
+    ).where("high > low and some")
+    rare = around.join(counts.where(F.col("n") <= ALL_PAIRS).select("shingle"), "shingle").select("shingle", F.struct("at", "key", "c").alias("y"), "open")
+    every = rare.where("open").select("shingle", "y").join(rare.select("shingle", F.col("y").alias("z")), "shingle")
+    every = every.where(F.col("y.at") != F.col("z.at")).select(F.least("y", "z").alias("p"), F.greatest("y", "z").alias("q"))
+    links, attempted = _look(every, links, attempted, texts, least, similarity)
+    heavy = (
+        around.join(counts.where(F.col("n") > ALL_PAIRS).select("shingle"), "shingle")
+        .groupBy("at", "key").agg(F.collect_set("shingle").alias("marks")).where(F.size("marks") >= need)
     )
-    made = of_text.join(texts, ["at", "key"]).select("at", "key", "members", "text").mapInArrow(lambda batches: _runs(batches, least), RUNS)
-    runs = _written(made.select("sig", F.struct("at", "key", "l", "c", "r").alias("y"), "lo", "hi", "open", "minima", "runs"), "runs")
-    pair = (F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"))
-
-    def grouped(rows: DataFrame) -> DataFrame:
-        first = F.min(F.struct(F.xxhash64("y.at", "part").alias("h"), "y", "open")).alias("first")
-        sizes = rows.groupBy("part").agg(
-            first, F.min("y.at").alias("low"), F.max("y.at").alias("high"), F.count(F.lit(1)).alias("n"), F.max("open").alias("some")
-        )
-        return sizes.where("high > low and some").select("part", F.col("first.y").alias("x"), F.col("first.open").alias("first_open"), "n")
-
-    rows = runs.drop("runs")
-    for many in LEVELS:
-        keyed = rows.withColumn("part", F.xxhash64("sig", F.slice("minima", 1, many)))
-        keyed = _written(keyed.join(grouped(keyed), "part"), "parts")
-        few = keyed.where(F.col("n") <= ALL_PAIRS)
-        every = few.where("open").select("part", "y").join(few.select("part", F.col("y").alias("x")), "part")
-        large = keyed.where(F.col("n") > ALL_PAIRS)
-        pairs = every.select("x", "y").unionByName(large.where("open or first_open").select("x", "y")).where(F.col("y.at") != F.col("x.at"))
-        links, attempted = _look(pairs.select(*pair).distinct(), links, attempted, texts, least, similarity)
-        apart = large.where("open").withColumns({"p": F.least("x", "y"), "q": F.greatest("x", "y")})
-        left = _uncovered(apart, links, F.col("y.c") - F.col("hi"), F.col("y.c") - F.col("lo") + least).select("part", "sig", "y", "lo")
-        left = _written(left.distinct(), "left-over")
-        if left.isEmpty():
-            break
-        rows = keyed.join(left.select("part").distinct(), "part", "left_semi").select("sig", "y", "lo", "hi", "minima").join(
-            left.select("sig", "y", "lo", F.lit(True).alias("open")), ["sig", "y", "lo"], "left"
-        ).withColumn("open", F.coalesce("open", F.lit(False)))
-    whole = runs.select("y", "open", F.col("sig"), F.explode("runs").alias("run")).withColumn("part", F.xxhash64("sig", "run"))
-    stars = whole.join(grouped(whole), "part").where(F.col("y.at") != F.col("x.at"))
-    return _look(stars.select(*pair).distinct(), links, attempted, texts, least, similarity)[0]
-
+    rest = _written(members.join(heavy, (F.col("y.at") == F.col("at")) & (F.col("y.key") == F.col("key"))).select("sig", "y", "open", "marks"), "heavy")
+    if rest.isEmpty():
+        return links
+    every = rest.where("open").join(rest.select("sig", F.col("y").alias("z"), F.col("marks").alias("others")), "sig")
+    every = every.where(F.col("y.at") != F.col("z.at")).withColumns({"p": F.least("y", "z"), "q": F.greatest("y", "z")})
+    every = every.where(meet & (F.size(F.array_intersect("marks", "others")) >= need)).select("p", "q")
+    return _look(every, links, attempted, texts, least, similarity)[0]
 
-RUNS = "sig long, at long, key long, l int, c int, r int, open boolean, lo int, hi int, minima array<bigint>, runs array<bigint>"
 
+AROUND = "shingle long, at long, key long, c int, open boolean"
 
-def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """For windows, the runs of the least length around the centre: from how far before it (hi to lo) they have which minima, and their hashes."""
-    types = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    names = [f.split()[0] for f in RUNS.split(", ")]
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-
-    rows: list[tuple] = []
+def _around(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
+    """The shingles of texts within ``reach`` of a member's centre, and whether an open member is that near."""
     for batch in batches:
         for at, key, members, text in zip(*(batch.column(c) for c in ("at", "key", "members", "text"))):
-            at, key = at.as_py(), key.as_py()
             values = shingles([text.as_py()])[0]
-            further = range(len(_MULTIPLIERS) - max(LEVELS), len(_MULTIPLIERS))
-            minima = np.stack([suffix.sliding(signature(values, f), least, np.minimum) for f in further], axis=1).view(np.int64)
-            whole = run_hash(values, least).view(np.int64)
+            near = np.zeros((2, len(values) + 1), np.int64)
             for m in members.as_py():
-                begin, end = max(m["l"], m["c"] - least + 1), min(m["c"], m["r"] - least + 1) + 1
-                part = minima[begin:end]
-                cuts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]).any(axis=1), True]).tolist()
-                for x, y in zip(cuts, cuts[1:]):
-                    rows.append((
-                        m["sig"], at, key, m["l"], m["c"], m["r"], m["open"], m["c"] - (begin + y - 1), m["c"] - (begin + x),
-                        part[x], whole[begin + x:begin + y],
-                    ))
-                if len(rows) >= 10_000:
-                    yield batch_of(rows)
-                    rows = []
-    if rows:
-        yield batch_of(rows)
+                for row in (0, 1) if m["open"] else (0,):
+                    near[row, max(0, m["c"] - reach)] += 1
+                    near[row, min(len(values), m["c"] + reach)] -= 1
+            some, open_ = np.cumsum(near, axis=1)[:, :-1] > 0
+            chosen = np.flatnonzero(some & (values != 0))
+            columns = [
+                pa.array(values[chosen].view(np.int64)), pa.array(np.full(len(chosen), at.as_py(), np.int64)),
+                pa.array(np.full(len(chosen), key.as_py(), np.int64)), pa.array(chosen.astype(np.int32)), pa.array(open_[chosen]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in AROUND.split(", ")])
 
 
 def _look(found: DataFrame, links, attempted, texts: DataFrame, least: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Verify what has not been looked at yet of (p, q); all links and all places looked at so far."""
     places = found.select(
-        F.col("p.at").alias("a"), F.col("p.c").alias("ca"), F.col("q.at").alias("b"), F.col("q.c").alias("cb"),
-        F.col("p").alias("x"), F.col("q").alias("y"),
+        F.col("p.at").alias("a"), F.col("p.key").alias("key_a"), F.col("p.c").alias("ca"),
+        F.col("q.at").alias("b"), F.col("q.key").alias("key_b"), F.col("q.c").alias("cb"),
     )
     if attempted is not None:
         places = _written(places.join(attempted, ["a", "ca", "b", "cb"], "left_anti"), "places")
+    pairs = places.groupBy("a", "key_a", "b", "key_b").agg(F.collect_set(F.struct("ca", "cb")).alias("centres"))
+    fresh = _verify_pairs(_written(pairs, "text-pairs"), texts, least, similarity)
     looked = places.select("a", "ca", "b", "cb")
-    fresh = _verify_pairs(_written(_boxes(places), "text-pairs"), texts, least, similarity)
     return (
         fresh if links is None else links.unionByName(fresh),
         looked if attempted is None else attempted.unionByName(looked),
@@ -358,37 +361,36 @@ BROADCAST_PAIRS = 20_000
 
 
 def _verify_pairs(pairs: DataFrame, texts: DataFrame, least: int, similarity: float) -> DataFrame:
-    """(a, b, matches) of the pairs whose texts hold near-duplicate passages in their boxes."""
+    """(a, b, matches) of the pairs whose texts hold near-duplicate passages around their centres."""
     if pairs.count() <= BROADCAST_PAIRS:
         ids = pairs.select(F.col("a").alias("at"), F.col("key_a").alias("key")).unionByName(pairs.select(F.col("b").alias("at"), F.col("key_b").alias("key")))
         texts = texts.join(F.broadcast(ids.distinct()), ["at", "key"], "left_semi")
-    with_a = pairs.join(texts, (pairs["a"] == texts["at"]) & (pairs["key_a"] == texts["key"])).select("a", "b", "key_b", "text", "boxes")
-    cut = with_a.mapInArrow(_slice_texts, "a long, b long, key_b long, first int, slice string, boxes " + dict(with_a.dtypes)["boxes"])
-    with_b = cut.join(texts, (cut["b"] == texts["at"]) & (cut["key_b"] == texts["key"])).select("a", "b", "first", "slice", "text", "boxes")
+    with_a = pairs.join(texts, (pairs["a"] == texts["at"]) & (pairs["key_a"] == texts["key"])).select("a", "b", "key_b", "text", "centres")
+    kind = dict(with_a.dtypes)["centres"]
+    cut = with_a.mapInArrow(lambda batches: _slices(batches, REACH * least), f"a long, b long, key_b long, first int, slice binary, centres {kind}")
+    with_b = cut.join(texts, (cut["b"] == texts["at"]) & (cut["key_b"] == texts["key"])).select("a", "b", "first", "slice", "text", "centres")
     return _written(with_b.mapInArrow(lambda batches: _verified(batches, least, similarity), MATCH), "links")
 
 
-def _columns(boxes) -> np.ndarray:
-    return np.stack([r.to_numpy().astype(np.int64) for r in boxes.values.flatten()], axis=1)
+def _columns(centres) -> np.ndarray:
+    return np.stack([r.to_numpy().astype(np.int64) for r in centres.values.flatten()], axis=1)
 
 
-def _slice_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the first text of each pair, the words that its boxes can reach."""
-    last: tuple = (None, None, None)
+def _slices(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
+    """Of the first text of each pair, the shingles that stand within ``reach`` of its centres."""
+    last: tuple = (None, None)
     for batch in batches:
         first, cut = [], []
-        for a, text, boxes in zip(*(batch.column(c) for c in ("a", "text", "boxes"))):
+        for a, text, centres in zip(*(batch.column(c) for c in ("a", "text", "centres"))):
             if last[0] != a.as_py():
-                lower = text.as_py().lower()
-                last = (a.as_py(), lower.encode(), tokens([lower])[2])
-            table = _columns(boxes)
-            low, high = int(table[:, 0].min()), int(table[:, 2].max()) + WIDTH
+                last = (a.as_py(), shingles([text.as_py()])[0])
+            place = _columns(centres)[:, 0]
+            low = max(0, int(place.min()) - reach)
             first.append(low)
-            place = last[2]
-            cut.append(last[1][int(place[low]):int(place[high]) if high < len(place) else len(last[1])].decode())
+            cut.append(last[1][low:int(place.max()) + reach].tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("a"), batch.column("b"), batch.column("key_b"), pa.array(first, pa.int32()), pa.array(cut, pa.string()), batch.column("boxes")],
-            names=["a", "b", "key_b", "first", "slice", "boxes"],
+            [batch.column("a"), batch.column("b"), batch.column("key_b"), pa.array(first, pa.int32()), pa.array(cut, pa.binary()), batch.column("centres")],
+            names=["a", "b", "key_b", "first", "slice", "centres"],
         )
 
 
@@ -423,6 +425,13 @@ def reachable(hits: np.ndarray, loss: float, least: int) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
+def stretches(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every true place the first and the last place of the run of true ones that it is in."""
+    at = np.arange(len(mask))
+    low = np.maximum.accumulate(np.where(mask, 0, at + 1))
+    return low, np.minimum.accumulate(np.where(mask, len(mask), at)[::-1])[::-1] - 1
+
+
 def verify(one: np.ndarray, other: np.ndarray, boxes: np.ndarray, least: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
     """(start, end, start, end, Jaccard) of near-duplicate passages, in shingles of both texts.
 
@@ -444,7 +453,20 @@ def verify(one: np.ndarray, other: np.ndarray, boxes: np.ndarray, least: int, si
         return out
 
     in_other, in_one = table(other)[one], table(one)[other]
-    boxes = boxes[reachable(in_other, single, least)[boxes[:, 1]] & reachable(in_one, single, least)[boxes[:, 4]]]
+    near, far = reachable(in_other, single, least), reachable(in_one, single, least)
+    boxes = boxes[near[boxes[:, 1]] & far[boxes[:, 4]]]
+    for column, part in ((0, near), (3, far)):  # no passage leaves the stretch of such places
+        low, high = stretches(part)
+        boxes[:, column] = np.maximum(boxes[:, column], low[boxes[:, column + 1]])
+        boxes[:, column + 2] = np.minimum(boxes[:, column + 2], high[boxes[:, column + 1]])
+    boxes = boxes[np.lexsort((boxes[:, 1], boxes[:, 1] - boxes[:, 4]))]
+    # Whatever passages one centre has go on to the next one, if all is equal from the one to the other.
+    follows = np.zeros(len(boxes), bool)
+    follows[1:] = (boxes[1:, 1] - boxes[:-1, 1] == boxes[1:, 4] - boxes[:-1, 4]) & (boxes[1:, [0, 2, 3, 5]] == boxes[:-1, [0, 2, 3, 5]]).all(axis=1)
+    for i in np.flatnonzero(follows).tolist():
+        (_, a, _, _, c, _), (_, b, _, _, d, _) = boxes[i - 1:i + 1].tolist()
+        follows[i] = np.array_equal(one[a:b], other[c:d])
+    boxes = boxes[~follows]
     size = boxes[:, 2] - boxes[:, 0] + boxes[:, 5] - boxes[:, 3]
     for la, ca, ra, lb, cb, rb in boxes[np.lexsort((*boxes.T[::-1], -size))].tolist():
         if any(a <= ca < b and c <= cb < d for a, b, c, d, _ in found):
@@ -483,19 +505,25 @@ def _verified(batches: Iterator[pa.RecordBatch], least: int, similarity: float)
     last: tuple = (None, None)
     for batch in batches:
         a, b, out = [], [], []
-        for x, y, low, mine, theirs, boxes in zip(*(batch.column(c) for c in ("a", "b", "first", "slice", "text", "boxes"))):
+        for x, y, low, mine, theirs, centres in zip(*(batch.column(c) for c in ("a", "b", "first", "slice", "text", "centres"))):
             y, low = y.as_py(), low.as_py()
             if last[0] != y:
                 last = (y, shingles([theirs.as_py()])[0])
-            table = _columns(boxes)
-            table[:, :3] -= low
-            found = verify(shingles([mine.as_py()])[0], last[1], table, least, similarity)
+            place = _columns(centres)
+            begin = max(0, int(place[:, 1].min()) - REACH * least)
+            one, other = np.frombuffer(mine.as_py(), np.uint64), last[1][begin:int(place[:, 1].max()) + REACH * least]
+            table = np.zeros((len(place), 6), np.int64)
+            table[:, 1], table[:, 4] = place[:, 0] - low, place[:, 1] - begin
+            # The last places of a text are no shingles.
+            table[:, 2], table[:, 5] = np.flatnonzero(one)[-1], np.flatnonzero(other)[-1]
+            found = verify(one, other, table, least, similarity)
             if found:
                 a.append(x.as_py())
                 b.append(y)
                 # A run of shingles covers the words of its last one too.
                 out.append([
-                    {"start_a": low + p, "end_a": low + q + WIDTH - 1, "start_b": r, "end_b": s + WIDTH - 1, "similarity": j} for p, q, r, s, j in found
+                    {"start_a": low + p, "end_a": low + q + WIDTH - 1, "start_b": begin + r, "end_b": begin + s + WIDTH - 1, "similarity": j}
+                    for p, q, r, s, j in found
                 ])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(out, kind)], names=["a", "b", "matches"])
 
@@ -511,8 +539,8 @@ def near_duplicate_passages(
     texts into classes (``class_id`` is the smallest id that links and copies reach); ``partners``
     are the earlier texts that a text has links to, ``passages`` where (words of both and the
     similarity), ``repeated_words`` how many of its words they cover, ``n_links`` its links in either
-    direction (a large group is linked through first members, not by all its pairs). Exact repeats
-    of the length are found whatever the hash functions.
+    direction (a group is linked through its first member where that settles it, not by all its pairs). Near
+    duplicates are found whatever the hash function (``shared_run``), in groups of any size.
 
     Signatures that only one text has are settled in packed buckets before windows or texts move.
     Null, empty and shorter texts have no passages; a null id counts as the smallest; rows with
@@ -528,13 +556,13 @@ def near_duplicate_passages(
     digests = cut_lineage(rows.select("id", "at", "key", F.sha2("text", 256).alias("digest")))
     first = cut_lineage(digests.groupBy("key", "digest").agg(F.min("at").alias("at")))
     announced = rows.where(F.length("text") >= least_words).mapInArrow(
-        lambda batches: _announce(batches, least, buckets), "bucket int, names binary, texts binary"
+        lambda batches: _announce(batches, least, similarity, buckets), "bucket int, names binary, texts binary"
     )
     shared = announced.groupBy("bucket").applyInArrow(lambda t: suffix.shared_names(t, buckets), "key long, name long")
     wanted = shared.groupBy("key").agg(F.collect_list("name").alias("names")).join(first.select("key", "at"), "key").select("at", "key", "names")
     base = rows.select("at", "key", "text")
     windows = _written(base.join(wanted, ["at", "key"], "left").select("at", "key", "text", "names").mapInArrow(
-        lambda batches: _windows(batches, least, buckets), WINDOW
+        lambda batches: _windows(batches, least, similarity, buckets), WINDOW
     ), "windows")
     texts = windows.where("text is not null").select("at", "key", "text")
     links = _link(windows.where("text is null").drop("text"), texts, least, similarity)

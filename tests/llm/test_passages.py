@@ -227,3 +227,35 @@ def test_repeated_words_link(spark):
     long = [i for i in range(1, 12, 2) if 20 + 17 * i >= 50]
     assert len({rows[i].class_id for i in long}) == 1
     assert len({rows[i].class_id for i in range(0, 12, 2) if 6 * (8 + i) >= 50}) == 1
+
+
+def test_one_edit_anywhere_leaves_a_shared_key():
+    """No pair of passages above the threshold depends on luck: an edit at any word, two edits in longer ones."""
+    rnd = random.Random(51)
+    for size, edits in [(50, [k]) for k in range(50)] * 4 + [(105, [k, k + 35]) for k in range(0, 70, 3)]:
+        part = [rnd.randrange(1, 2**62) for _ in range(size)]
+        edited = [7 if i in edits else w for i, w in enumerate(part)]
+        keys = []
+        for p in (part, edited):
+            values = shingled([rnd.randrange(1, 2**62) for _ in range(60)] + p + [rnd.randrange(1, 2**62) for _ in range(60)])
+            keys.append(set(passages.joined_signatures(values, np.array([0, len(values)]), 0, 46)[1].tolist()))
+        assert keys[0] & keys[1]
+
+
+def test_near_twins_in_large_groups(spark):
+    """Twins with an edit whose shared text is mostly a line that many others hold; some by frequent shingles alone."""
+    rnd = random.Random(10)
+    line, tails = words(rnd, 30), [words(rnd, 26) for _ in range(3)]
+    data = [(i, " ".join(words(rnd, 30) + line + words(rnd, 30)), "x") for i in range(60)]
+    for i in range(30):  # two texts with a tail of their own, one word of it changed
+        tail = words(rnd, 26)
+        other = [*tail[:8 + i % 10], "edited", *tail[9 + i % 10:]]
+        data += [(100 + 2 * i + k, " ".join(words(rnd, 30) + line + t + words(rnd, 30)), "x") for k, t in enumerate((tail, other))]
+    for i in range(60):  # three tails that twenty texts have each, with one edit at two different words
+        tail = list(tails[i % 3])
+        tail[4 + 12 * (i // 3 % 2)] = "edited"
+        data.append((200 + i, " ".join(words(rnd, 30) + line + tail + words(rnd, 30)), "x"))
+    rows = {r.doc_id: r for r in passages.near_duplicate_passages(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert all(rows[i].class_id == i for i in range(60))
+    assert all(rows[100 + 2 * i + k].class_id == 100 + 2 * i for i in range(30) for k in range(2))
+    assert all(rows[200 + i].class_id == (200 + i % 3 if i // 3 % 2 == 0 else rows[200 + i % 3 + 3].class_id) for i in range(60))
