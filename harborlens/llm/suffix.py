@@ -18,11 +18,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborlens.llm.common import bounded_batches, id_order, shuffle_width
+from harborlens.llm.common import bounded_batches, id_order, shuffle_width, slices
 
 GRAM = 24
 #: Longer texts are handled in pieces of so many string starts.
 SEGMENT = 1 << 22
+#: So many bytes or string starts of a bucket are worked on at a time (about a hundred bytes of memory each).
+PART = 1 << 19
 BASE = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -103,7 +105,7 @@ def _announce(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> I
                 names.append(found)
                 texts.append(np.full(len(found), key, np.int64))
                 held += len(found)
-            if held >= 4_000_000:
+            if held >= 1_000_000:
                 yield packed_names(names, texts, buckets)
                 names, texts, held = [], [], 0
     if held:
@@ -157,7 +159,7 @@ def _cut_snippets(batches: Iterator[pa.RecordBatch], length: int, buckets: int)
                     snippet = part[a:b + length - 1]
                     held.setdefault(to, []).append((at, key, offset + a, snippet))
                     size += len(snippet) + 120
-                if size >= 48_000_000:
+                if size >= 16_000_000:
                     yield flush()
                     held, size = {}, 0
     if held:
@@ -272,33 +274,60 @@ def sort_suffixes(hashes: PrefixHashes, suffixes: np.ndarray, classes: np.ndarra
         stands = further
 
 
+def least_grams(contents: list[bytes], length: int) -> np.ndarray:
+    """The minimizer that all strings of a snippet share, per snippet."""
+    out = np.zeros(len(contents), np.uint64)
+    sizes = np.array([len(c) for c in contents])
+    for a, b in slices(len(contents), sizes, PART):
+        grams = gram_hashes(b"".join(contents[a:b]))
+        begins = np.cumsum(sizes[a:b]) - sizes[a:b]
+        groups = grams[begins]
+        for shift in range(1, length - GRAM + 1):
+            np.minimum(groups, grams[begins + shift], out=groups)
+        out[a:b] = groups
+    return out
+
+
 def earliest_holders(contents: list[bytes], first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(place per snippet, holders): for each of a snippet's starts the lowest text position that has the string there.
 
     A snippet's holders begin at its place. ``first`` is the lowest position that has the whole
-    snippet. One whose minimizer no other snippet has needs no sort and has place -1.
+    snippet. One whose minimizer no other snippet has needs no sort and has place -1. Snippets of one
+    minimizer are sorted together, different minimizers in parts.
     """
-    data = b"".join(contents)
-    lengths = np.array([len(c) for c in contents])
-    begins = np.r_[0, np.cumsum(lengths)[:-1]]
-    grams = gram_hashes(data)
-    groups = grams[begins]
-    for shift in range(1, length - GRAM + 1):
-        np.minimum(groups, grams[begins + shift], out=groups)
+    groups = least_grams(contents, length)
     _, group, count = np.unique(groups, return_inverse=True, return_counts=True)
     place = np.full(len(contents), -1)
     chosen = np.flatnonzero(count[group] > 1)
     if not len(chosen):
         return place, np.zeros(0, np.int64)
-    starts = (lengths - length + 1)[chosen]
+    chosen = chosen[np.argsort(group[chosen], kind="stable")]
+    sizes = np.array([len(contents[i]) for i in chosen.tolist()])
+    starts = sizes - length + 1
     place[chosen] = np.r_[0, np.cumsum(starts)[:-1]]
-    owner = np.repeat(chosen, starts)
-    suffix = np.arange(starts.sum()) + np.repeat(begins[chosen] - place[chosen], starts)
+    cuts = np.r_[np.flatnonzero(np.r_[True, group[chosen][1:] != group[chosen][:-1]]), len(chosen)]
+    holders = np.empty(starts.sum(), np.int64)
+    for a, b in slices(len(cuts) - 1, np.add.reduceat(sizes, cuts[:-1]), PART):
+        part = chosen[cuts[a]:cuts[b]]
+        found = holders_of_part([contents[i] for i in part.tolist()], groups[part], group[part], first[part], length)
+        holders[place[part[0]]:place[part[0]] + len(found)] = found
+    return place, holders
+
+
+def holders_of_part(contents: list[bytes], minimizer: np.ndarray, group: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
+    """The holders of all starts of these snippets, one after the other."""
+    data = b"".join(contents)
+    lengths = np.array([len(c) for c in contents])
+    begins = np.cumsum(lengths) - lengths
+    starts = lengths - length + 1
+    owner = np.repeat(np.arange(len(contents)), starts)
+    suffix = np.arange(starts.sum()) + np.repeat(begins - (np.cumsum(starts) - starts), starts)
     # Equal strings have their minimizer at the same distance and the same first bytes: only those are compared.
-    hits = np.flatnonzero(grams == np.repeat(groups, lengths)[:len(grams)])
+    grams = gram_hashes(data)
+    hits = np.flatnonzero(grams == np.repeat(minimizer, lengths)[:len(grams)])
     distance = hits[np.searchsorted(hits, suffix)] - suffix
     hashes = PrefixHashes(data)
-    label = group[owner].astype(np.int64) * length + distance
+    label = (group[owner] - group.min()).astype(np.int64) * length + distance
     prefix = hashes.eight[suffix]
     order = np.lexsort((prefix, label))
     changed = (label[order][1:] != label[order][:-1]) | (prefix[order][1:] != prefix[order][:-1])
@@ -310,31 +339,38 @@ def earliest_holders(contents: list[bytes], first: np.ndarray, length: int) -> t
         stands = np.array([known.setdefault(data[s:s + length], i) for i, s in enumerate(suffix.tolist())])
     least = np.full(len(suffix), np.iinfo(np.int64).max)
     np.minimum.at(least, stands, first[owner])
-    return place, least[stands]
+    return least[stands]
 
 
 def _repeats(table: pa.Table, length: int) -> pa.Table:
     """(at, key, start << 32 | end) of the bytes that strings of earlier documents cover, per snippet."""
     unpack = zstandard.ZstdDecompressor()
-    places, pieces = [], []
-    for packed, snippets in zip(table.column("places").to_pylist(), table.column("snippets").to_pylist()):
-        part = np.frombuffer(packed, np.int64).reshape(-1, 4)
-        data = unpack.decompress(snippets)
+    places, content = [], []
+    known: dict[bytes, int] = {}
+    for packed, snippets in zip(table.column("places"), table.column("snippets")):
+        part = np.frombuffer(packed.as_py(), np.int64).reshape(-1, 4)
+        data = unpack.decompress(snippets.as_py())
         ends = np.cumsum(part[:, 3]).tolist()
-        pieces.extend(data[a:b] for a, b in zip([0, *ends], ends))
+        content.append(np.array([known.setdefault(data[a:b], len(known)) for a, b in zip([0, *ends], ends)], np.int64))
         places.append(part)
-    rows = np.concatenate(places)
-    known: dict[bytes, int] = {}
-    content = np.array([known.setdefault(p, len(known)) for p in pieces], np.int64)
+    rows, content = np.concatenate(places), np.concatenate(content)
     contents = list(known)
     first = np.full(len(contents), np.iinfo(np.int64).max)
     np.minimum.at(first, content, rows[:, 0])
     place, holders = earliest_holders(contents, first, length)
     whole = rows[(place[content] < 0) & (first[content] < rows[:, 0])]
     sorted_ = place[content] >= 0
-    part, at = rows[sorted_], place[content][sorted_]
+    rows, at = rows[sorted_], place[content][sorted_]
+    parts = [(whole[:, 0], whole[:, 1], whole[:, 2] << 32 | whole[:, 2] + whole[:, 3])]
+    for a, b in slices(len(rows), rows[:, 3] - length + 1, PART):
+        parts.append(covered_spans(rows[a:b], at[a:b], holders, length))
+    return pa.table({name: np.concatenate(columns) for name, columns in zip(("at", "key", "span"), zip(*parts))})
+
+
+def covered_spans(part: np.ndarray, at: np.ndarray, holders: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(at, key, span) of the stretches of snippets whose starts have an earlier holder."""
     starts = part[:, 3] - length + 1
-    begins = np.r_[0, np.cumsum(starts)[:-1]] if len(part) else np.zeros(0, np.int64)
+    begins = np.cumsum(starts) - starts
     inside = np.arange(starts.sum()) - np.repeat(begins, starts)
     covered = holders[np.repeat(at, starts) + inside] < np.repeat(part[:, 0], starts)
     head, tail = np.zeros(len(covered), bool), np.zeros(len(covered), bool)
@@ -342,9 +378,8 @@ def _repeats(table: pa.Table, length: int) -> pa.Table:
     opens = np.flatnonzero(covered & (head | ~np.r_[False, covered[:-1]]))
     closes = np.flatnonzero(covered & (tail | ~np.r_[covered[1:], False]))
     row = np.searchsorted(begins, opens, side="right") - 1
-    start = np.r_[whole[:, 2], part[row, 2] + inside[opens]]
-    end = np.r_[whole[:, 2] + whole[:, 3], part[row, 2] + inside[closes] + length]
-    return pa.table({"at": np.r_[whole[:, 0], part[row, 0]], "key": np.r_[whole[:, 1], part[row, 1]], "span": start << 32 | end})
+    start, end = part[row, 2] + inside[opens], part[row, 2] + inside[closes] + length
+    return part[row, 0], part[row, 1], start << 32 | end
 
 
 def merge_spans(spans: np.ndarray, total: int) -> list[tuple[int, int]]:

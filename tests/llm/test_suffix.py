@@ -1,6 +1,7 @@
 """Repeated bytes against a plain scan of all strings."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -114,3 +115,37 @@ def test_collisions_are_noticed(monkeypatch):
 
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_a_large_bucket_is_sorted_in_parts(monkeypatch):
+    """The holders are those of a plain scan whatever the parts, and memory does not grow with the whole bucket."""
+    rnd = random.Random(3)
+    shared = [bytes(rnd.choices(range(97, 123), k=120)) for _ in range(60)]
+    contents = set()
+    for text in [s[:k] + b"-" + s[k:] for s in shared for k in (0, 30, 60, 90)]:  # runs of starts with one minimizer
+        found = suffix.minimizers(text, 50)
+        cuts = np.flatnonzero(np.r_[True, found[1:] != found[:-1], True]).tolist()
+        contents |= {text[a:b + 49] for a, b in zip(cuts, cuts[1:])}
+    contents = sorted(contents)
+    first = np.array([rnd.randrange(1000) for _ in contents])
+    plain_first: dict[bytes, int] = {}
+    for c, at in zip(contents, first.tolist()):
+        for s in range(len(c) - 49):
+            plain_first[c[s:s + 50]] = min(at, plain_first.get(c[s:s + 50], 1000))
+    for part in (200, 5000, 1 << 20):
+        monkeypatch.setattr(suffix, "PART", part)
+        place, holders = earliest_holders(contents, first, 50)
+        for c, at, begin in zip(contents, first.tolist(), place.tolist()):
+            if begin >= 0:
+                assert holders[begin:begin + len(c) - 49].tolist() == [plain_first[c[s:s + 50]] for s in range(len(c) - 49)]
+            else:
+                assert all(plain_first[c[s:s + 50]] == at for s in range(len(c) - 49))
+    monkeypatch.undo()
+    random_bytes = np.random.default_rng(5).integers(0, 256, 1_000_000, np.uint8).tobytes()
+    many = [random_bytes[a:a + 50] + bytes([k]) * 10 for a in range(0, len(random_bytes) - 50, 100) for k in (0, 1, 2)]
+    many = [c[:50 + int(np.argmin(np.r_[(m := suffix.minimizers(c, 50)) == m[0], False]) - 1)] for c in many]
+    tracemalloc.start()
+    earliest_holders(many, np.arange(len(many)), 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90e6
