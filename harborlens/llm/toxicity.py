@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
-import sys
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,7 @@ STEMS = (3, 4, 5, 6, 7)
 
 
 def words_of(text: str | None) -> set[str]:
-    return set(map(sys.intern, TOKEN.findall((text or "").lower())))
+    return set(TOKEN.findall((text or "").lower()))
 
 
 def features(words: set[str]) -> set[str]:
@@ -76,9 +76,9 @@ class Model:
         return float(1 / (1 + np.exp(-(self.intercept + sum(self.weights[w] for w in sorted(found))))))
 
 
-def copies_weight(bags: Sequence[set[str]], sketch: int = 6) -> np.ndarray:
+def copies_weight(bags: Iterable[set[str]], sketch: int = 6) -> np.ndarray:
     """1 / size of the group of bags with the same six lowest word hashes, so that copies count once."""
-    keys = [tuple(sorted(zlib.crc32(w.encode()) * 2654435761 & 0xFFFFFFFF for w in bag)[:sketch]) for bag in bags]
+    keys = [tuple(nsmallest(sketch, (zlib.crc32(w.encode()) * 2654435761 & 0xFFFFFFFF for w in bag))) for bag in bags]
     sizes = Counter(keys)
     return np.array([1 / sizes[k] for k in keys])
 
@@ -96,35 +96,39 @@ def fit(
     of the logit between a row and its counterfactuals. Newton steps find its one minimum.
     """
     y = np.array(labels, dtype=float)
-    bags = [words_of(t) for t in texts]
     if len(y) == 0 or y.min() == y.max():
         return Model({}, 0.0, float(y.sum() / (len(y) + 1)))
-    share = copies_weight(bags)
-    toxic_rows, rows = defaultdict(float), defaultdict(float)
-    for bag, label, part in zip(bags, y, share):
-        for word in features(bag):
-            rows[word] += part
-            if label:
+    # The word sets of all texts take far more memory than the texts: they are made anew where they are needed.
+    share = copies_weight(map(words_of, texts))
+    toxic_rows = defaultdict(float)
+    for text, label, part in zip(texts, y, share):
+        if label:
+            for word in features(words_of(text)):
                 toxic_rows[word] += part
     base = float((share * y).sum() / share.sum())
     enough = max(least_docs, least_share * float((share * y).sum()))
+    toxic_rows = {w: n for w, n in toxic_rows.items() if n >= enough}
+    rows = dict.fromkeys(toxic_rows, 0.0)
+    for text, part in zip(texts, share):
+        for word in features(words_of(text)) & rows.keys():
+            rows[word] += part
     vocabulary = sorted(
-        w for w, n in rows.items()
-        if toxic_rows[w] >= enough and (toxic_rows[w] - n * base) / np.sqrt(n * base * (1 - base)) >= least_z
+        w for w, n in rows.items() if (toxic_rows[w] - n * base) / np.sqrt(n * base * (1 - base)) >= least_z
     )
     place = {w: i + 1 for i, w in enumerate(vocabulary)}
 
-    def matrix(sets: Sequence[set[str]]) -> np.ndarray:
-        out = np.zeros((len(sets), len(place) + 1))
-        out[:, 0] = 1
-        for i, bag in enumerate(sets):
-            out[i, [place[w] for w in features(bag) & place.keys()]] = 1
+    def row_of(bag: set[str]) -> np.ndarray:
+        out = np.zeros(len(place) + 1)
+        out[[0, *(place[w] for w in features(bag) & place.keys())]] = 1
         return out
 
-    x = matrix(bags)
-    pairs = [(i, other) for i, bag in enumerate(bags) for other in swaps(bag, terms)]
-    change = x[[i for i, _ in pairs]] - matrix([other for _, other in pairs]) if pairs else np.zeros((0, x.shape[1]))
-    fair = 2 * penalty * change.T @ change / max(1, len(pairs)) + 2 * l2 * np.diag([0.0] + [1.0] * len(place))
+    x = np.zeros((len(y), len(place) + 1))
+    changes = []
+    for i, bag in enumerate(map(words_of, texts)):
+        x[i] = row_of(bag)
+        changes += [x[i] - row_of(other) for other in swaps(bag, terms)]
+    change = np.array(changes) if changes else np.zeros((0, x.shape[1]))
+    fair = 2 * penalty * change.T @ change / max(1, len(changes)) + 2 * l2 * np.diag([0.0] + [1.0] * len(place))
     share /= share.sum()
     w = np.zeros(x.shape[1])
     w[0] = np.log(base / (1 - base))

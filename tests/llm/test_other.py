@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -53,6 +54,19 @@ def test_training_edge_cases():
     assert toxicity.swaps({"gay", "x"}) == [{"straight", "x"}, {"person", "x"}]
 
 
+def test_fit_holds_no_word_sets():
+    """Texts of many rare words: what the fit keeps on the driver is far less than all their words and beginnings."""
+    rnd = random.Random(8)
+    texts = [" ".join("".join(rnd.choices("abcdefghijklmno", k=9)) for _ in range(100)) + (" zork" if i % 6 == 0 else "") for i in range(1500)]
+    tracemalloc.start()
+    model = toxicity.fit(texts, [int(i % 6 == 0) for i in range(1500)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.score("zork") > 0.5 > model.score("other")
+    assert peak < 40e6
+
+
+
 def test_classifier_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.classify(docs, labels)
