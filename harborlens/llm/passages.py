@@ -196,12 +196,12 @@ def _announce(batches: Iterator[pa.RecordBatch], least: int, similarity: float,
         yield suffix.packed_names(names, owners, buckets)
 
 
-WINDOW = "sig long, at long, key long, l int, c int, r int, text string"
+WINDOW = "sig long, at long, key long, l int, c int, r int, grams binary"
 
 
 def _windows(batches: Iterator[pa.RecordBatch], least: int, similarity: float, buckets: int) -> Iterator[pa.RecordBatch]:
-    """The windows whose signature another text has too, and a row with the text of each text that has such."""
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+    """The windows whose signature another text has too, and a row with the shingles of each text that has such."""
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
     names = [f.split()[0] for f in WINDOW.split(", ")]
     for batch in batches:
         wanted = [i for i, ok in enumerate(batch.column("names").is_valid().to_pylist()) if ok]
@@ -210,7 +210,8 @@ def _windows(batches: Iterator[pa.RecordBatch], least: int, similarity: float, b
         keys = np.array([batch.column("key")[i].as_py() for i in wanted], np.int64)
         known = [np.sort(batch.column("names")[i].values.to_numpy()) for i in wanted]
         for a, b in slices(len(texts), np.array([len(t) for t in texts]), CHUNK_BYTES):
-            table, found = joined_signatures(*shingles(texts[a:b]), 0, least, similarity)
+            values, bounds = shingles(texts[a:b])
+            table, found = joined_signatures(values, bounds, 0, least, similarity)
             if not len(table):
                 continue
             bucket, name = suffix.short_names(found, buckets)
@@ -222,7 +223,8 @@ def _windows(batches: Iterator[pa.RecordBatch], least: int, similarity: float, b
             columns = [found[shared].view(np.int64), ids[who], keys[who], *table[:, 1:].T.astype(np.int32), [None] * len(table)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
             rows = np.unique(who).tolist()
-            columns = [[None] * len(rows), ids[rows], keys[rows], *[[None] * len(rows)] * 3, [texts[i] for i in rows]]
+            grams = [values[bounds[i - a]:bounds[i - a + 1]].tobytes() for i in rows]
+            columns = [[None] * len(rows), ids[rows], keys[rows], *[[None] * len(rows)] * 3, grams]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
@@ -265,7 +267,7 @@ def _link(windows: DataFrame, texts: DataFrame, least: int, similarity: float) -
         links, attempted = _look(every, links, attempted, texts, least, similarity)
     open_ = over.where(F.col("n") > ALL_PAIRS).select("sig", "y").distinct()
     if not open_.isEmpty():
-        links = _apart(active, open_, links, attempted, texts, least, similarity, meet)
+        links = _apart(active, open_, links, attempted, texts, least, similarity)
     return links.groupBy("a", "b").agg(F.flatten(F.collect_list("matches")).alias("matches"))
 
 
@@ -281,7 +283,7 @@ def _uncovered(found: DataFrame, links: DataFrame, run: int) -> DataFrame:
 
 
 def _apart(
-    active: DataFrame, open_: DataFrame, links: DataFrame, attempted: DataFrame, texts: DataFrame, least: int, similarity: float, meet,
+    active: DataFrame, open_: DataFrame, links: DataFrame, attempted: DataFrame, texts: DataFrame, least: int, similarity: float,
 ) -> DataFrame:
     """All links, after the open members of large groups have been compared with all that can be like them.
 
@@ -289,32 +291,62 @@ def _apart(
     in common, all within ``REACH`` least lengths of it (a longer pair has a shorter one in it). Count
     the shingles that stand so near to the members' centres. If a pair shares one that occurs there
     ``ALL_PAIRS`` times or less, the two meet at that shingle. Else all they share are frequent ones:
-    members with enough of those meet by their group, and the numbers in common are compared first.
+    texts with enough of those meet by their groups, once each pair (``_by_group``).
     """
     need = ceil(similarity * least - 1e-9)
     members = active.join(open_.select("sig").distinct(), "sig", "left_semi").join(open_.withColumn("open", F.lit(True)), ["sig", "y"], "left")
     members = _written(members.withColumn("open", F.coalesce("open", F.lit(False))), "members")
     of_text = members.groupBy(F.col("y.at").alias("at"), F.col("y.key").alias("key")).agg(F.collect_set(F.struct("y.c", "open")).alias("members"))
-    made = of_text.join(texts, ["at", "key"]).select("at", "key", "members", "text")
+    made = of_text.join(texts, ["at", "key"]).select("at", "key", "members", "grams")
     around = _written(made.mapInArrow(lambda batches: _around(batches, REACH * least), AROUND), "around")
+    around = around.repartition("shingle")  # dealt once, for the counts and for what they are joined to
     counts = around.groupBy("shingle").agg(
         F.count(F.lit(1)).alias("n"), F.min("at").alias("low"), F.max("at").alias("high"), F.max("open").alias("some")
     ).where("high > low and some")
-    rare = around.join(counts.where(F.col("n") <= ALL_PAIRS).select("shingle"), "shingle").select("shingle", F.struct("at", "key", "c").alias("y"), "open")
+    counted = _written(around.join(counts.select("shingle", "n"), "shingle"), "counted")
+    rare = counted.where(F.col("n") <= ALL_PAIRS).select("shingle", F.struct("at", "key", "c").alias("y"), "open")
     every = rare.where("open").select("shingle", "y").join(rare.select("shingle", F.col("y").alias("z")), "shingle")
     every = every.where(F.col("y.at") != F.col("z.at")).select(F.least("y", "z").alias("p"), F.greatest("y", "z").alias("q"))
     links, attempted = _look(every, links, attempted, texts, least, similarity)
-    heavy = (
-        around.join(counts.where(F.col("n") > ALL_PAIRS).select("shingle"), "shingle")
-        .groupBy("at", "key").agg(F.collect_set("shingle").alias("marks")).where(F.size("marks") >= need)
-    )
-    rest = _written(members.join(heavy, (F.col("y.at") == F.col("at")) & (F.col("y.key") == F.col("key"))).select("sig", "y", "open", "marks"), "heavy")
-    if rest.isEmpty():
+    marks = counted.where(F.col("n") > ALL_PAIRS).select("at", "key", "shingle").distinct()
+    heavy = marks.groupBy("at", "key").agg(F.count(F.lit(1)).alias("marks")).where(F.col("marks") >= need)
+    rest = members.join(heavy, (F.col("y.at") == F.col("at")) & (F.col("y.key") == F.col("key")), "left_semi")
+    return _by_group(rest, links, attempted, texts, least, similarity)
+
+
+def _by_group(members: DataFrame, links: DataFrame, attempted: DataFrame, texts: DataFrame, least: int, similarity: float) -> DataFrame:
+    """All links, after every open member has been compared with all others of its group.
+
+    Two texts mostly have many groups in common. They meet in the first of them alone, and the places
+    where they are to be compared come from their lists of members, without those looked at before.
+    """
+    place = F.struct("sig", F.col("y.l").alias("l"), F.col("y.c").alias("c"), F.col("y.r").alias("r"), "open")
+    lists = _written(members.groupBy(F.col("y.at").alias("at"), F.col("y.key").alias("key")).agg(
+        F.collect_list(place).alias("members"), F.collect_set("sig").alias("groups"), F.collect_set(F.when(F.col("open"), F.col("sig"))).alias("open"),
+    ), "member-lists")
+    if lists.isEmpty():
         return links
-    every = rest.where("open").join(rest.select("sig", F.col("y").alias("z"), F.col("marks").alias("others")), "sig")
-    every = every.where(F.col("y.at") != F.col("z.at")).withColumns({"p": F.least("y", "z"), "q": F.greatest("y", "z")})
-    every = every.where(meet & (F.size(F.array_intersect("marks", "others")) >= need)).select("p", "q")
-    return _look(every, links, attempted, texts, least, similarity)[0]
+    x = lists.select(F.struct("at", "key").alias("y"), F.col("groups").alias("mine"), F.col("open").alias("ours"), F.explode("open").alias("sig"))
+    z = lists.select(F.struct("at", "key").alias("z"), F.col("groups").alias("theirs"), F.col("open").alias("others"), F.explode("groups").alias("sig"))
+    # An open text leads; where both are open in a common group, the smaller one does.
+    met = x.join(z, "sig").where(
+        (F.col("y.at") != F.col("z.at")) & (F.col("sig") == F.array_min(F.array_intersect("theirs", "ours")))
+        & ((F.col("y.at") < F.col("z.at")) | ~F.arrays_overlap("mine", "others"))
+    )
+    pairs = met.select(F.least("y", "z").alias("p"), F.greatest("y", "z").alias("q")).select(
+        F.col("p.at").alias("a"), F.col("p.key").alias("key_a"), F.col("q.at").alias("b"), F.col("q.key").alias("key_b")
+    )
+    pairs = _written(pairs, "text-pairs")
+    done = attempted.join(pairs.select("a", "b"), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.collect_set(F.struct("ca", "cb")).alias("done"))
+    pairs = pairs.join(done, ["a", "b"], "left")
+    run, span = seeds(least, similarity)
+    texts = texts.join(lists.select("at", "key", "members"), ["at", "key"])
+    theirs = lists.select(F.col("at").alias("b"), F.col("key").alias("key_b"), F.col("members").alias("members_b"))
+    with_a = pairs.join(theirs, ["b", "key_b"]).join(texts, (F.col("a") == F.col("at")) & (F.col("key_a") == F.col("key")))
+    cut = with_a.select("a", "b", "key_b", "grams", "members", "members_b", "done").mapInArrow(
+        lambda batches: _meetings(batches, span, REACH * least), f"{SLICE}, centres array<struct<ca: int, cb: int>>"
+    )
+    return links.unionByName(_verify_slices(cut, texts.drop("members"), least, similarity))
 
 
 AROUND = "shingle long, at long, key long, c int, open boolean"
@@ -323,8 +355,8 @@ AROUND = "shingle long, at long, key long, c int, open boolean"
 def _around(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
     """The shingles of texts within ``reach`` of a member's centre, and whether an open member is that near."""
     for batch in batches:
-        for at, key, members, text in zip(*(batch.column(c) for c in ("at", "key", "members", "text"))):
-            values = shingles([text.as_py()])[0]
+        for at, key, members, grams in zip(*(batch.column(c) for c in ("at", "key", "members", "grams"))):
+            values = np.frombuffer(grams.as_py(), np.uint64)
             near = np.zeros((2, len(values) + 1), np.int64)
             for m in members.as_py():
                 for row in (0, 1) if m["open"] else (0,):
@@ -358,6 +390,7 @@ def _look(found: DataFrame, links, attempted, texts: DataFrame, least: int, simi
 
 #: Texts of pairs are looked up by a broadcast of their ids up to so many (some megabytes), else by a shuffle.
 BROADCAST_PAIRS = 20_000
+SLICE = "a long, b long, key_b long, first int, slice binary"
 
 
 def _verify_pairs(pairs: DataFrame, texts: DataFrame, least: int, similarity: float) -> DataFrame:
@@ -365,40 +398,93 @@ def _verify_pairs(pairs: DataFrame, texts: DataFrame, least: int, similarity: fl
     if pairs.count() <= BROADCAST_PAIRS:
         ids = pairs.select(F.col("a").alias("at"), F.col("key_a").alias("key")).unionByName(pairs.select(F.col("b").alias("at"), F.col("key_b").alias("key")))
         texts = texts.join(F.broadcast(ids.distinct()), ["at", "key"], "left_semi")
-    with_a = pairs.join(texts, (pairs["a"] == texts["at"]) & (pairs["key_a"] == texts["key"])).select("a", "b", "key_b", "text", "centres")
+    with_a = pairs.join(texts, (pairs["a"] == texts["at"]) & (pairs["key_a"] == texts["key"])).select("a", "b", "key_b", "grams", "centres")
     kind = dict(with_a.dtypes)["centres"]
-    cut = with_a.mapInArrow(lambda batches: _slices(batches, REACH * least), f"a long, b long, key_b long, first int, slice binary, centres {kind}")
-    with_b = cut.join(texts, (cut["b"] == texts["at"]) & (cut["key_b"] == texts["key"])).select("a", "b", "first", "slice", "text", "centres")
+    cut = with_a.mapInArrow(lambda batches: _slices(batches, REACH * least), f"{SLICE}, centres {kind}")
+    return _verify_slices(cut, texts, least, similarity)
+
+
+def _verify_slices(cut: DataFrame, texts: DataFrame, least: int, similarity: float) -> DataFrame:
+    with_b = cut.join(texts, (cut["b"] == texts["at"]) & (cut["key_b"] == texts["key"])).select("a", "b", "first", "slice", "grams", "centres")
     return _written(with_b.mapInArrow(lambda batches: _verified(batches, least, similarity), MATCH), "links")
 
 
 def _columns(centres) -> np.ndarray:
-    return np.stack([r.to_numpy().astype(np.int64) for r in centres.values.flatten()], axis=1)
+    return np.stack([r.to_numpy(zero_copy_only=False).astype(np.int64) for r in centres.values.flatten()], axis=1)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
     """Of the first text of each pair, the shingles that stand within ``reach`` of its centres."""
-    last: tuple = (None, None)
     for batch in batches:
         first, cut = [], []
-        for a, text, centres in zip(*(batch.column(c) for c in ("a", "text", "centres"))):
-            if last[0] != a.as_py():
-                last = (a.as_py(), shingles([text.as_py()])[0])
+        for grams, centres in zip(*(batch.column(c) for c in ("grams", "centres"))):
             place = _columns(centres)[:, 0]
             low = max(0, int(place.min()) - reach)
             first.append(low)
-            cut.append(last[1][low:int(place.max()) + reach].tobytes())
+            cut.append(np.frombuffer(grams.as_py(), np.uint64)[low:int(place.max()) + reach].tobytes())
         yield pa.RecordBatch.from_arrays(
             [batch.column("a"), batch.column("b"), batch.column("key_b"), pa.array(first, pa.int32()), pa.array(cut, pa.binary()), batch.column("centres")],
             names=["a", "b", "key_b", "first", "slice", "centres"],
         )
 
 
-def best_run(hits: np.ndarray, centre: int, loss: float, least: int) -> tuple[int, int, float]:
-    """The longest run of at least ``least`` around ``centre`` that maximises hits minus ``loss`` times misses, and that sum."""
+def _meetings(batches: Iterator[pa.RecordBatch], span: int, reach: int) -> Iterator[pa.RecordBatch]:
+    """The places where two texts are in one group, one of them open, that have not been looked at; as ``_slices``."""
+    for batch in batches:
+        (i, mine), (j, theirs), (k, done) = (_rows_of(batch.column(c)) for c in ("members", "members_b", "done"))
+        sig, places = np.unique(np.r_[mine[0], theirs[0]], return_inverse=True)
+        p, q = i * len(sig) + places[:len(i)], j * len(sig) + places[len(i):]
+        order = np.argsort(q, kind="stable")
+        low, high = (np.searchsorted(q[order], p, side) for side in ("left", "right"))
+        each = high - low
+        x = np.repeat(np.arange(len(p)), each)
+        y = order[np.arange(len(x)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(low, each)]
+        (_, la, ca, ra, open_a), (_, lb, cb, rb, open_b) = ([c[at] for c in part] for part, at in ((mine, x), (theirs, y)))
+        meet = np.minimum(ca - la, cb - lb) + np.minimum(ra - ca, rb - cb) + 1 >= span
+        codes = _place_codes(i[x], ca, cb)[meet & ((open_a | open_b) == 1)]
+        codes = np.setdiff1d(codes, _place_codes(k, *done)) if len(k) else np.unique(codes)
+        if not len(codes):
+            continue
+        row, ca, cb = codes >> 54, codes >> 27 & _PLACES, codes & _PLACES
+        cuts = np.flatnonzero(np.r_[True, row[1:] != row[:-1], True])
+        rows = row[cuts[:-1]]
+        first = np.maximum(0, ca[cuts[:-1]] - reach)
+        texts = batch.column("grams")
+        cut = [texts[r].as_py()[8 * u:8 * v] for r, u, v in zip(rows.tolist(), first.tolist(), (ca[cuts[1:] - 1] + reach).tolist())]
+        flat = pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in (ca, cb)], ["ca", "cb"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(batch.column(c).take(pa.array(rows)) for c in ("a", "b", "key_b")), pa.array(first, pa.int32()), pa.array(cut, pa.binary()),
+                pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat),
+            ],
+            names=["a", "b", "key_b", "first", "slice", "centres"],
+        )
+
+
+_PLACES = (1 << 27) - 1
+
+
+def _place_codes(row: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> np.ndarray:
+    """One number for the row of a batch and the places in two texts (of fewer than 2^27 words)."""
+    return row << 54 | ca << 27 | cb
+
+
+def _rows_of(lists) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The row of every struct in a column of lists, and the fields of all."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    if lists.null_count:
+        sizes = np.where(lists.is_valid().to_numpy(zero_copy_only=False), sizes, 0)
+    return np.repeat(np.arange(len(sizes)), sizes), [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in lists.flatten().flatten()]
+
+
+def best_run(hits: np.ndarray, centre: int, loss: float, least: int, once: np.ndarray | float = 1.0) -> tuple[int, int, float]:
+    """The longest run of at least ``least`` around ``centre`` that maximises hits minus ``loss`` times misses, and that sum.
+
+    A miss counts as ``once`` has it (``best_around``).
+    """
     sums = np.empty(len(hits) + 1)
     sums[0] = 0.0
-    np.cumsum(np.where(hits, 1.0, -loss), out=sums[1:])
+    np.add.accumulate(np.where(hits, 1.0, -loss * once), out=sums[1:])
     least_end = max(centre + 1, least)
     if least_end > len(hits):
         return 0, 0, -np.inf
@@ -425,6 +511,25 @@ def reachable(hits: np.ndarray, loss: float, least: int) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
+def best_around(hits: np.ndarray, once: np.ndarray, loss: float, least: int) -> np.ndarray:
+    """For every place the most that a run of at least ``least`` around it has in hits less ``loss`` times misses.
+
+    ``once`` has for each place one part of a shingle that stands so many times, so that a run has no
+    more misses by this count than different shingles. Runs whose Jaccard reaches s have, added up,
+    0 or more with a loss of 2s / (1 - s), so a pair of places below that has none.
+    """
+    sums = np.concatenate(([0.0], np.where(hits, 1.0, -loss * once)))
+    np.add.accumulate(sums, out=sums)
+    out = np.full(len(hits), -np.inf)
+    if len(hits) < least:
+        return out
+    low, high = np.minimum.accumulate(sums), np.maximum.accumulate(sums[::-1])[::-1]
+    # Either the run goes on for ``least`` places from here, or its end says where it may start.
+    out[:len(sums) - least] = high[least:] - low[:len(sums) - least]
+    short = np.concatenate((np.full(least - 1, -np.inf), sums[least:] - low[:-least], np.full(least, -np.inf)))
+    return np.maximum(out, suffix.sliding(short, least, np.maximum)[:len(hits)])
+
+
 def stretches(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every true place the first and the last place of the run of true ones that it is in."""
     at = np.arange(len(mask))
@@ -432,6 +537,20 @@ def stretches(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, np.minimum.accumulate(np.where(mask, len(mask), at)[::-1])[::-1] - 1
 
 
+def hopeful(one: np.ndarray, other: np.ndarray, boxes: np.ndarray, least: int, similarity: float) -> bool:
+    """Whether any box can hold near-duplicate passages, by the last bits of the shingles.
+
+    Shingles with equal bits count as one, which makes hits more, misses fewer: no passage is ruled out.
+    """
+    size = 1 << (16 * max(len(one), len(other))).bit_length()
+    sums = 0.0
+    bits = [(part & np.uint64(size - 1)).astype(np.int64) for part in (one, other)]
+    counts = [np.bincount(part, minlength=size) for part in bits]
+    for part, mine, theirs, places in ((bits[0], counts[0], counts[1], boxes[:, 1]), (bits[1], counts[1], counts[0], boxes[:, 4])):
+        sums = sums + best_around(theirs[part] > 0, 1.0 / mine[part], 2 * similarity / max(1 - similarity, 1e-9), least)[places]
+    return bool((sums >= -1e-6).any())
+
+
 def verify(one: np.ndarray, other: np.ndarray, boxes: np.ndarray, least: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
     """(start, end, start, end, Jaccard) of near-duplicate passages, in shingles of both texts.
 
@@ -443,6 +562,8 @@ def verify(one: np.ndarray, other: np.ndarray, boxes: np.ndarray, least: int, si
     the lower one before it reports longer runs.
     """
     found: list[tuple[int, int, int, int, float]] = []
+    if not hopeful(one, other, boxes, least, similarity):
+        return found
     kinds, codes = np.unique(np.r_[one, other], return_inverse=True)
     one, other = codes[:len(one)], codes[len(one):]
     single = similarity / max(1 - similarity, 1e-9)  # a run alone must reach the similarity in hits per shingle
@@ -453,6 +574,8 @@ def verify(one: np.ndarray, other: np.ndarray, boxes: np.ndarray, least: int, si
         return out
 
     in_other, in_one = table(other)[one], table(one)[other]
+    once = [1.0 / np.bincount(part, minlength=len(kinds))[part] for part in (one, other)]
+    ahead, behind = best_around(in_other, once[0], 2 * single, least), best_around(in_one, once[1], 2 * single, least)
     near, far = reachable(in_other, single, least), reachable(in_one, single, least)
     boxes = boxes[near[boxes[:, 1]] & far[boxes[:, 4]]]
     for column, part in ((0, near), (3, far)):  # no passage leaves the stretch of such places
@@ -463,10 +586,16 @@ def verify(one: np.ndarray, other: np.ndarray, boxes: np.ndarray, least: int, si
     # Whatever passages one centre has go on to the next one, if all is equal from the one to the other.
     follows = np.zeros(len(boxes), bool)
     follows[1:] = (boxes[1:, 1] - boxes[:-1, 1] == boxes[1:, 4] - boxes[:-1, 4]) & (boxes[1:, [0, 2, 3, 5]] == boxes[:-1, [0, 2, 3, 5]]).all(axis=1)
-    for i in np.flatnonzero(follows).tolist():
-        (_, a, _, _, c, _), (_, b, _, _, d, _) = boxes[i - 1:i + 1].tolist()
-        follows[i] = np.array_equal(one[a:b], other[c:d])
+    rows = np.flatnonzero(follows)
+    steps = boxes[rows, 1] - boxes[rows - 1, 1]
+    rows, steps = rows[steps > 0], steps[steps > 0]
+    if len(rows):
+        ends = np.cumsum(steps)
+        along = np.arange(ends[-1]) - np.repeat(ends - steps, steps)
+        same = one[np.repeat(boxes[rows - 1, 1], steps) + along] == other[np.repeat(boxes[rows - 1, 4], steps) + along]
+        follows[rows] = np.logical_and.reduceat(same, ends - steps)
     boxes = boxes[~follows]
+    boxes = boxes[ahead[boxes[:, 1]] + behind[boxes[:, 4]] >= -1e-6]
     size = boxes[:, 2] - boxes[:, 0] + boxes[:, 5] - boxes[:, 3]
     for la, ca, ra, lb, cb, rb in boxes[np.lexsort((*boxes.T[::-1], -size))].tolist():
         if any(a <= ca < b and c <= cb < d for a, b, c, d, _ in found):
@@ -475,6 +604,9 @@ def verify(one: np.ndarray, other: np.ndarray, boxes: np.ndarray, least: int, si
             continue
         x, y = one[la:ra + 1], other[lb:rb + 1]
         in_y = table(y)[x]
+        most = best_run(in_y, ca - la, 2 * single, least, once[0][la:ra + 1])[2] + best_run(table(x)[y], cb - lb, 2 * single, least, once[1][lb:rb + 1])[2]
+        if most < -1e-6:
+            continue
         for loss in (single, 2 * single, 19):
             a, b, c, d = _settled(x, y, in_y, ca - la, cb - lb, loss, least, table)
             p, q = table(x[a:b]), table(y[c:d])
@@ -490,9 +622,10 @@ def _settled(x, y, in_y, cx: int, cy: int, loss: float, least: int, table) -> tu
     a, b, _ = best_run(in_y, cx, loss, least)
     seen: set[tuple[int, int, int, int]] = set()
     while True:
+        before = a, b
         c, d, _ = best_run(table(x[a:b])[y], cy, loss, least)
         a, b, _ = best_run(table(y[c:d])[x], cx, loss, least)
-        if (a, b, c, d) in seen:
+        if (a, b) == before or (a, b, c, d) in seen:
             return a, b, c, d
         seen.add((a, b, c, d))
 
@@ -502,16 +635,16 @@ MATCH = "a long, b long, matches array<struct<start_a: int, end_a: int, start_b:
 
 def _verified(batches: Iterator[pa.RecordBatch], least: int, similarity: float) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("start_a", "end_a", "start_b", "end_b")] + [("similarity", pa.float64())]))
-    last: tuple = (None, None)
     for batch in batches:
         a, b, out = [], [], []
-        for x, y, low, mine, theirs, centres in zip(*(batch.column(c) for c in ("a", "b", "first", "slice", "text", "centres"))):
+        ends = batch.column("centres").offsets.to_numpy()
+        places = np.stack(_rows_of(batch.column("centres"))[1], axis=1)
+        for i, (x, y, low, mine, theirs) in enumerate(zip(*(batch.column(c) for c in ("a", "b", "first", "slice", "grams")))):
             y, low = y.as_py(), low.as_py()
-            if last[0] != y:
-                last = (y, shingles([theirs.as_py()])[0])
-            place = _columns(centres)
+            place = places[ends[i] - ends[0]:ends[i + 1] - ends[0]]
             begin = max(0, int(place[:, 1].min()) - REACH * least)
-            one, other = np.frombuffer(mine.as_py(), np.uint64), last[1][begin:int(place[:, 1].max()) + REACH * least]
+            one = np.frombuffer(mine.as_py(), np.uint64)
+            other = np.frombuffer(theirs.as_py(), np.uint64)[begin:int(place[:, 1].max()) + REACH * least]
             table = np.zeros((len(place), 6), np.int64)
             table[:, 1], table[:, 4] = place[:, 0] - low, place[:, 1] - begin
             # The last places of a text are no shingles.
@@ -564,8 +697,8 @@ def near_duplicate_passages(
     windows = _written(base.join(wanted, ["at", "key"], "left").select("at", "key", "text", "names").mapInArrow(
         lambda batches: _windows(batches, least, similarity, buckets), WINDOW
     ), "windows")
-    texts = windows.where("text is not null").select("at", "key", "text")
-    links = _link(windows.where("text is null").drop("text"), texts, least, similarity)
+    texts = windows.where("grams is not null").select("at", "key", "grams")
+    links = _link(windows.where("grams is null").drop("grams"), texts, least, similarity)
     classes = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     degree = links.select(F.explode(F.array("a", "b")).alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("n_links"))
     span = lambda m: F.sequence(m["start_b"], m["end_b"] - 1)

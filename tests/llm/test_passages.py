@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from harborlens.llm import passages
 from harborlens.llm.decontam import run_hash, tokens
@@ -259,3 +260,61 @@ def test_near_twins_in_large_groups(spark):
     assert all(rows[i].class_id == i for i in range(60))
     assert all(rows[100 + 2 * i + k].class_id == 100 + 2 * i for i in range(30) for k in range(2))
     assert all(rows[200 + i].class_id == (200 + i % 3 if i // 3 % 2 == 0 else rows[200 + i % 3 + 3].class_id) for i in range(60))
+
+
+def test_hopeless_boxes_cost_no_search(monkeypatch):
+    """A word edited in every 25: each text alone has enough of the other, both together have not."""
+    rnd = random.Random(3)
+    names = [rnd.randrange(1, 2**62) for _ in range(204)]
+    x, y = shingled(names), shingled([7 + i if i % 25 == 0 else n for i, n in enumerate(names)])
+    centres = np.array([c for c in range(1, 196) if x[c] == y[c]])
+    boxes = np.zeros((len(centres), 6), np.int64)
+    boxes[:, 1], boxes[:, 4], boxes[:, [2, 5]] = centres, centres, 199
+    calls, search = [], passages.best_run
+    monkeypatch.setattr(passages, "best_run", lambda *a, **k: calls.append(1) or search(*a, **k))
+    assert not any(similar_inside(x, y, box) for box in boxes[::20].tolist())
+    assert passages.verify(x, y, boxes, 46, 0.8) == [] and not calls
+
+
+def test_best_around_every_place():
+    rnd = np.random.default_rng(8)
+    for size in (3, 12, 13, 60):
+        hits, once = rnd.random(size) < 0.7, rnd.choice([1.0, 0.5, 0.25], size)
+        value = np.where(hits, 1.0, -8 * once)
+        got = passages.best_around(hits, once, 8.0, 12)
+        for c in range(size):
+            runs = [value[s:e].sum() for s in range(c + 1) for e in range(max(c + 1, s + 12), size + 1)]
+            assert abs(got[c] - max(runs)) < 1e-9 if runs else got[c] == -np.inf
+
+
+def test_meetings_are_the_common_groups_of_two_texts():
+    rnd = random.Random(15)
+    member = lambda: {"sig": rnd.randrange(6), "l": (c := rnd.randrange(5, 300)) - 5, "c": c, "r": c + rnd.randrange(9), "open": rnd.random() < 0.3}
+    values = np.arange(320, dtype=np.uint64)
+    rows = [
+        {"a": i, "b": 100 + i, "key_b": 7, "grams": values.tobytes(), "members": [member() for _ in range(8)], "members_b": [member() for _ in range(8)]}
+        for i in range(40)
+    ]
+    expected = {}
+    for row in rows:
+        places = {
+            (p["c"], q["c"]) for p in row["members"] for q in row["members_b"] if p["sig"] == q["sig"] and (p["open"] or q["open"])
+            and min(p["c"] - p["l"], q["c"] - q["l"]) + min(p["r"] - p["c"], q["r"] - q["c"]) + 1 >= 8
+        }
+        done = set(rnd.sample(sorted(places), len(places) // 2)) if row["a"] % 3 else None
+        row["done"] = None if done is None else [{"ca": x, "cb": y} for x, y in done]
+        if left := places - (done or set()):
+            expected[row["a"]] = left
+    place = pa.struct([("sig", pa.int64()), *((n, pa.int32()) for n in "lcr"), ("open", pa.bool_())])
+    schema = pa.schema([
+        *((n, pa.int64()) for n in ("a", "b", "key_b")), ("grams", pa.binary()), ("members", pa.list_(place)), ("members_b", pa.list_(place)),
+        ("done", pa.list_(pa.struct([("ca", pa.int32()), ("cb", pa.int32())]))),
+    ])
+    got = {}
+    for batch in passages._meetings(iter([pa.RecordBatch.from_pylist(rows, schema), pa.RecordBatch.from_pylist(rows[:0], schema)]), 8, 20):
+        for row in batch.to_pylist():
+            got[row["a"]] = {(m["ca"], m["cb"]) for m in row["centres"]}
+            low, high = min(got[row["a"]])[0], max(got[row["a"]])[0]
+            assert row["b"] == 100 + row["a"] and row["first"] == max(0, low - 20)
+            assert np.array_equal(np.frombuffer(row["slice"], np.uint64), values[row["first"]:high + 20])
+    assert got == expected and len(got) > 20
