@@ -88,6 +88,7 @@ def compress_communities(tokens: DataFrame, threshold: float = 0.85) -> DataFram
     Words with equal vectors are one node from the start, with the links of all of them: a crowd of
     copies costs one row and not all its pairs.
     """
+    tokens = cut_lineage(tokens.select("token", "frequency", "number", "vector"))  # whatever made them runs once
     members, edges = distinct_edges(tokens, "number", "vector", threshold)
     members = cut_lineage(members.withColumn("node", F.when(F.col("alike"), F.col("first")).otherwise(F.col("id"))))
     sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"))

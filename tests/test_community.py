@@ -3,7 +3,9 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from harborlens.operators import community, vocab
 
@@ -118,3 +120,30 @@ def test_copies_are_one_node(spark):
     grouped = {r.token: r.representative for r in vocab.compress_communities(tokens, 0.9).collect()}
     assert grouped["zero"] == "zero" and grouped["nil"] == "nil"
     assert {grouped[f"w{i:03d}"] for i in range(60)} == {"w057", "w058", "w059"}
+
+
+@pytest.mark.parametrize("kind, name", [("long", "loose"), ("int", "weighted")])
+def test_rounds_on_the_driver_are_the_same(spark, kind, name):
+    """Few links are settled without a Spark job per round; names, coins and labels are those of the jobs."""
+    draw = np.array([-(1 << 31), -7, 0, 5, (1 << 31) - 1])
+    frame = spark.createDataFrame([(int(x),) for x in draw], f"node {kind}")
+    for turn in (0, 3):
+        seen = frame.select(F.xxhash64("node", F.lit(turn), F.lit("move")).alias("a"), F.xxhash64("node", F.lit(turn)).alias("b"), "node").collect()
+        mine = [community._hashed(draw.astype(np.int64 if kind == "long" else np.int32), turn, w).astype(np.int64).tolist() for w in ("move", "")]
+        assert sorted((r.node, r.a, r.b) for r in seen) == sorted(zip(draw.tolist(), *mine))
+    n, edges = GRAPHS[name]
+    nodes = spark.createDataFrame([(7 * i - 9,) for i in range(n)], f"node {kind}")
+    links = spark.createDataFrame([(7 * a - 9, 7 * b - 9, w) for a, b, w in edges], f"src {kind}, dst {kind}, weight long")
+    far, near = (sorted(map(tuple, community.communities(nodes, links, local_links=most).collect())) for most in (0, 1000))
+    assert near == far and len(near) == n
+
+
+def test_few_links_need_no_job_per_round(spark):
+    n, edges = GRAPHS["planted"]
+    context, before = spark.sparkContext, found(spark, n, edges)[0]
+    context.setJobGroup("rounds", "rounds")
+    try:
+        assert found(spark, n, edges)[0] == before
+        assert len(context.statusTracker().getJobIdsForGroup("rounds")) < 40
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
