@@ -421,3 +421,59 @@ def test_radius_graph_has_all_copies(spark):
     assert edges == {(a, b) for a in (1, 2, 3) for b in (2, 3, 4) if a < b}
     links = {(r.id, r.neighbor) for r in nearest.cosine_radius_links(df, "id", "v", 0.9).collect()}
     assert links == {(1, 2), (1, 3), (1, 4)}
+
+
+def crowd(spark, n=400, twice=7):
+    """Points in a small box, every ``twice``-th id on two rows at different places, some without a position."""
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-0.5, 0.5) for _ in range(3)], [rng.uniform(-1, 1) for _ in range(3)]) for i in range(n)]
+    rows += [(i, [rng.uniform(-0.5, 0.5) for _ in range(3)], None if i % 2 else [1.0, 0.0, 0.0]) for i in range(0, n, twice)] if twice else []
+    return rows + [(n + 1, None, None), (0, None, [1.0, 1.0, 1.0])]
+
+
+@pytest.mark.parametrize("cell_rows", [spatial.CELL_ROWS, 3])
+def test_pairs_keep_their_ends(spark, monkeypatch, cell_rows):
+    """What pairs kept equals the look-up, for ids on several rows too, in crowded and in listed cells."""
+    monkeypatch.setattr(spatial.grid_pairs, "__defaults__", (cell_rows,))
+    monkeypatch.setattr(spatial, "LISTED_CELLS", 4 if cell_rows == 3 else 1 << 14)
+    points = place(spark, crowd(spark))
+    show = lambda df: sorted((r.id, r.neighbor, round(r.distance, 9), tuple(r.direction or ()), tuple(r.offset or ())) for r in df.collect())
+    kept = spatial.with_vectors(spatial.radius_join(points, 0.15, ends=True), points)
+    looked = spatial.with_vectors(spatial.radius_join(points, 0.15), points)
+    assert kept.columns == looked.columns and show(kept) == show(looked)
+    rows = [(i, p) for i, p, _ in crowd(spark) if p]
+    plain = sorted((i, j) for i, p in rows for j, q in rows if i != j and math.dist(p, q) <= 0.15)
+    assert sorted((r.id, r.neighbor) for r in spatial.radius_join(points, 0.15).collect()) == plain
+
+
+@pytest.mark.parametrize("kind", ["torus", "spherical", "reflection"])
+def test_wrapped_pairs_have_their_smallest_distance(spark, kind):
+    topology = spatial.Topology.preset(kind, ((-0.4, 0.4),) * 3)
+    rows = crowd(spark, 120)
+    points = place(spark, rows)
+    images = {}
+    for r in points.where("position IS NOT NULL").select("id", spatial.wrapped_positions(F.col("position"), topology).alias("at")).collect():
+        images.setdefault(r.id, []).extend(r.at)
+    for radius in (0.12, 0.5):
+        expected = {}
+        for i, ats in images.items():
+            for j, q, _ in rows:
+                if q and i != j and (gap := min(math.dist(a, q) for a in ats)) <= radius:
+                    expected[i, j] = min(gap, expected.get((i, j), gap))
+        got = spatial.wrapped_radius_join(points, radius, topology).collect()
+        assert len(got) == len(expected) and all(abs(expected[r.id, r.neighbor] - r.distance) < 1e-9 for r in got)
+
+
+def test_pairs_do_not_travel(spark):
+    """No exchange stands above the join that makes the pairs."""
+    points = place(spark, crowd(spark, twice=0)[:-1])
+    torus = spatial.Topology.preset("torus", ((-0.6, 0.6),) * 3)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = spatial.radius_join(points, 0.2, ends=True)
+        for df in (spatial.neighbors_in_front(spatial.with_vectors(near, points)), spatial.wrapped_radius_join(points, 0.2, torus)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan[: plan.index("SortMergeJoin")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
