@@ -37,8 +37,16 @@ def _named(links: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def modularity(edges: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row: communities with an edge, total (summed degrees) and the modularity of ``groups`` (node, community)."""
-    ends = _named(_both_ways(edges), groups.select("node", F.col("community").alias("name")))
+    """One row: communities with an edge, total (summed degrees) and the modularity of ``groups`` (node, community).
+
+    Edges travel to their two ends one way only; weights are summed per pair of communities before
+    both ways count. A hub's edges are dealt out by the skew handling of plain joins.
+    """
+    end = lambda at, name: groups.select(F.col("node").alias(at), F.col("community").alias(name))
+    one = edges.select("src", "dst", F.col("weight").cast("long").alias("w"))
+    between = one.join(end("src", "a"), "src").select("dst", "a", "w").join(end("dst", "b"), "dst").groupBy("a", "b").agg(F.sum("w").alias("w"))
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    ends = between.select(F.explode(ways).alias("_way"), "w").select("_way.a", "_way.b", "w")
     per = ends.groupBy("a").agg(
         F.sum("w").cast("double").alias("tot"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0)).alias("inside")
     )

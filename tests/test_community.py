@@ -147,3 +147,21 @@ def test_few_links_need_no_job_per_round(spark):
         assert len(context.statusTracker().getJobIdsForGroup("rounds")) < 40
     finally:
         context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_modularity_sends_each_edge_twice_at_most(spark):
+    """Two joins and sums per pair of communities: no exchange of both ways of all edges."""
+    n, edges = GRAPHS["weighted"]
+    frame = spark.createDataFrame(edges + [(1, 1, 4)], "src long, dst long, weight long")
+    groups = spark.createDataFrame([(i, i % 3 if i % 5 else None) for i in range(n)], "node long, community long")
+    found = community.modularity(frame, groups)
+    row, group = found.first(), {i: i % 3 if i % 5 else f"none {i}" for i in range(n)}
+    degrees = defaultdict(int)
+    for a, b, w in edges + [(1, 1, 4)]:
+        degrees[i if (i := group[a]) in (0, 1, 2) else None] += w
+        degrees[i if (i := group[b]) in (0, 1, 2) else None] += w
+    inside = sum(2 * w for a, b, w in edges + [(1, 1, 4)] if group[a] == group[b] and group[a] in (0, 1, 2))
+    total = sum(degrees.values())
+    assert (row.communities, row.total) == (len(degrees), total)
+    assert row.modularity == pytest.approx(inside / total - sum(d * d for d in degrees.values()) / total**2, abs=1e-12)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
